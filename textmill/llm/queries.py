@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import packing, quality_rules
+from textmill.llm import ngram_join, packing, quality_rules, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=9, den=10).drop("class_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
+    THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS x FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.x)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, CAST(coalesce(min(r.x), w.doc_id) AS BIGINT) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
+"""
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), window=13).drop("kept_text", "spans")
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM g),
+f AS (SELECT g, min(doc_id) AS m FROM h GROUP BY g),
+x AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT h.doc_id, h.i FROM h JOIN f USING (g) WHERE f.m < h.doc_id), range(0, 13) AS o(k)),
+k AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) a
+  WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = a.doc_id AND x.p = a.p) GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = ~quality_rules.passes(quality_rules.BASE)
@@ -60,6 +103,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL: dict[str, tuple[Query, str | None]] = {
+    "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, OP3_SQL),
+    "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
     "op7_quality_rules": (op7_quality_rules, OP7_SQL),
     "op10_packing": (op10_packing, None),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -55,10 +56,16 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the scratch folder and reads it back."""
+    """Cuts lineage: writes df as a table in the scratch folder and reads it back.
+
+    The write's shuffle files are garbage from then on; asking the JVM to collect lets Spark's cleaner delete them
+    now, so that the disk in use is that of one step and not of all.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
