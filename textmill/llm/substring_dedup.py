@@ -19,7 +19,7 @@ A piece is known by 128 bits (minimizer and content), an edge by another 128 (mi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
 import numpy as np
@@ -134,11 +134,14 @@ def covered_words(n_words: int, window: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n_words] > 0
 
 
-def _applied(window: int, schema: pa.Schema):
+def _applied(window: int):
+    spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("spans", spans_kind)]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text, pieces, edges in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
+            for text, pieces, edges in zip(as_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 words = text.split()
                 kept, spans = words, []
                 if pieces.is_valid or edges.is_valid:
@@ -153,23 +156,26 @@ def _applied(window: int, schema: pa.Schema):
                     turns = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))).tolist()
                     spans = [{"start": a, "length": b - a} for a, b in zip(turns[::2], turns[1::2], strict=True)]
                 joined = b" ".join(kept)
-                rows.append((doc, len(words), len(words) - len(kept), sha256(joined).hexdigest(), joined.decode() if spans else None, spans))
+                rows.append((len(words), len(words) - len(kept), sha256(joined).hexdigest(), joined.decode() if spans else None, spans))
             if rows:
-                yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
+                schema = pa.schema([("doc", pa.int64()), *kinds, ("row", batch.schema.field(4).type)])
+                yield batch_of(schema, [batch.column(0), *(list(c) for c in zip(*rows, strict=True)), batch.column(4)])
 
     return scan
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: Sequence[str] = ()) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text, spans.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  spans are the removed runs of words (start, length); kept_text is
-    the kept words joined by one space, null where nothing is removed (the text stays as it is).
+    the kept words joined by one space, null where nothing is removed (the text stays as it is).  With carry, a
+    column ``row`` holds a struct of those columns of the row.
 
     Defined cases: a null text has no words; texts shorter than a window lose nothing; a null id sorts after every
     id; rows that share an id never count against each other, and equal rows get equal results; other columns are
     ignored; an empty table gives no rows.
     """
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(True).alias("row"))
     source = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     seen = source.mapInArrow(_minimizers(window), "mer long, low long, high long")
@@ -186,7 +192,25 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     verdicts = whole.select("doc", "piece", F.lit(None).cast("long").alias("edge")).union(single.select("doc", F.lit(None).cast("long"), "edge"))
     verdicts = written(verdicts.groupBy("doc").agg(F.collect_set("piece").alias("pieces"), F.collect_set("edge").alias("edges")), "dedup-verdicts")
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("spans", spans)])
-    out = source.join(verdicts, "doc", "left").select("doc", "text", "pieces", "edges").mapInArrow(_applied(window, schema), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start: long, length: long>>")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *out.columns[1:])
+    kinds = "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start: long, length: long>>"
+    whole_rows = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"), carried.alias("row"))
+    given = whole_rows.join(verdicts, "doc", "left").select("doc", "text", "pieces", "edges", "row")
+    out = given.mapInArrow(_applied(window), f"{kinds}, row {whole_rows.schema['row'].dataType.simpleString()}")
+    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *out.columns[1 : None if carry else -1])
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = 13) -> DataFrame:
+    """docs, its columns unchanged, with the repeated words gone: a changed text is its kept words joined by one space,
+    and the count of characters (where docs has one) follows.  Documents of which nothing is left go."""
+    out = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, carry=docs.columns)
+    changed = F.col("kept_text").isNotNull()
+
+    def value(name: str):
+        old = F.col("row").getField(name)
+        if name == text_col:
+            return F.when(changed, F.col("kept_text")).otherwise(old).alias(name)
+        if name == chars_col:
+            return F.when(changed, F.length("kept_text").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return out.where(~changed | (F.col("kept_text") != "")).select(*map(value, docs.columns))
