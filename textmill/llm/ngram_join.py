@@ -10,11 +10,14 @@ towards the components, yet no group of copies is ever expanded into pairs:
    depends on the size band; a set near its band's upper end is also entered in the next.  Parts with very few tokens
    say little: with ``slack`` more parts than needed, they are only entered for sets that have more than slack of
    them - two sets whose equal parts are all weak both have that many.
-3. Groups.  Each class joins the group of the least class it shares a row with; large groups are dealt into chunks
-   of bounded size that each get a copy of the leader.  Inside a chunk classes are compared until they are connected.
-4. Token unions.  After components of those links, only rows that still hold several components matter.  For them,
-   each chunk's members of one component store the union of their tokens; the overlap of a query with the union
-   bounds its overlap with any member.  Only where the bound qualifies is the group opened and its members compared.
+3. Blocks and groups.  Each class joins the block of the least class it shares a row with; large ones are dealt into
+   blocks of bounded size that each get a copy of the leader.  Inside a block, classes are put into small groups of
+   similar sets (by their least token); a group stores the union of its members' tokens, which bounds a query's
+   overlap with any member.  Only where the bound qualifies is the group opened and its members compared, and only
+   until they are connected.
+4. After components of those links, only rows that still hold several components, in several blocks, matter.  For
+   each pair of blocks that shares such a row, the smaller one's classes query the larger one's groups in the same
+   way.  Pairs are of blocks, not of documents, and queries come in batches of bounded size.
 
 Every pair that could link is either inside one component or compared, so the components are exact.
 """
@@ -32,8 +35,8 @@ from textmill.llm.components import components
 from textmill.llm.hashing import mix, sequence_hash, signed, window_hashes, word_hashes
 from textmill.llm.shared import as_bytes, batch_of, bounded_batches, written
 
-CHUNK = 48
-QUERIES_A_TASK_GROUP = 192
+BLOCK = 512
+GROUP = 32
 BAND = 1.5
 WEAK = 3
 
@@ -102,15 +105,46 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(make, "doc long, tokens binary")
 
 
+class _Block:
+    """Classes of one block in groups of similar sets, each with the union of its tokens."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray]):
+        self.names, self.sets = names, sets
+        order = sorted(range(len(names)), key=lambda i: (int(sets[i][0]), len(sets[i]), names[i]))
+        self.groups = [order[k : k + GROUP] for k in range(0, len(order), GROUP)]
+        self.unions = [np.unique(np.concatenate([sets[i] for i in g])) if len(g) > 1 else sets[g[0]] for g in self.groups]
+        self.least = [min(len(sets[i]) for i in g) for g in self.groups]
+        self.most = [max(len(sets[i]) for i in g) for g in self.groups]
+
+    def qualifies(self, tokens: np.ndarray, k: int, num: int, den: int) -> bool:
+        """Whether the union of group k leaves room for a member that links with a query."""
+        smallest = max(self.least[k], -(-num * len(tokens) // den))
+        if smallest > self.most[k] or num * smallest > den * len(tokens):
+            return False
+        needed = -(-num * (len(tokens) + smallest) // (num + den))
+        union = self.unions[k]
+        at = np.searchsorted(union, tokens)
+        at[at == len(union)] = 0
+        return int(np.count_nonzero(union[at] == tokens)) >= needed
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.Table.from_batches([batch_of(_LINK, [[x[0] for x in found], [x[1] for x in found]])])
+
+
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
 def _within(num: int, den: int):
-    """Links inside a chunk that connect what can be connected: at most one less than its members."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links inside a block that connect what can be connected: fewer than its members."""
 
-    def compare(group: pa.Table) -> pa.Table:
-        names = group.column("doc").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        order = sorted(range(len(names)), key=lambda i: (len(sets[i]), names[i]))
-        root = list(range(len(names)))
+    def compare(block: pa.Table) -> pa.Table:
+        b = _Block(block.column("doc").to_pylist(), _unpacked(block.column("tokens")))
+        root = list(range(len(b.names)))
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -119,38 +153,43 @@ def _within(num: int, den: int):
             return i
 
         found = []
-        for k, i in enumerate(order):
-            for j in reversed(order[:k]):
-                if den * len(sets[j]) < num * len(sets[i]):
-                    break
-                if find(i) != find(j) and (names[i] == names[j] or linked(sets[i], sets[j], num, den)):
-                    root[find(i)] = find(j)
-                    found.append((names[i], names[j]))
-        return pa.Table.from_batches([batch_of(schema, [[x[0] for x in found], [x[1] for x in found]])])
+        for k, group in enumerate(b.groups):
+            for place, i in enumerate(group):
+                for h in range(k + 1):
+                    others = group[:place] if h == k else b.groups[h]
+                    others = [j for j in others if find(j) != find(i)]
+                    if others and (h == k or b.qualifies(b.sets[i], h, num, den)):
+                        for j in others:
+                            if find(i) != find(j) and (b.names[i] == b.names[j] or linked(b.sets[i], b.sets[j], num, den)):
+                                root[find(i)] = find(j)
+                                found.append((b.names[i], b.names[j]))
+        return _links(found)
 
     return compare
 
 
 def _across(num: int, den: int):
-    """Links of queries with members of a group whose token union lets them qualify."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def search(group: pa.Table) -> pa.Table:
-        rows = list(zip(group.column("doc").to_pylist(), group.column("query").to_pylist(), (np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()), strict=True))
-        members = sorted(((d, t) for d, q, t in rows if not q), key=lambda x: len(x[1]))
-        found = []
-        if members:
-            union, least = np.unique(np.concatenate([t for _, t in members])), len(members[0][1])
-            for doc, query, tokens in rows:
-                if not query:
-                    continue
-                smallest = max(least, -(-num * len(tokens) // den))
-                needed = -(-num * (len(tokens) + smallest) // (num + den))
-                at = np.searchsorted(union, tokens)
-                at[at == len(union)] = 0
-                if np.count_nonzero(union[at] == tokens) >= needed:
-                    found += next(([(doc, d)] for d, t in members if linked(tokens, t, num, den)), [])
-        return pa.Table.from_batches([batch_of(schema, [[x[0] for x in found], [x[1] for x in found]])])
+    """Links of queries with members of a block in other components: one for each component at most."""
+
+    def search(block: pa.Table) -> pa.Table:
+        names, asks, parts, sets = block.column("doc").to_pylist(), block.column("query").to_pylist(), block.column("component").to_pylist(), _unpacked(block.column("tokens"))
+        hosts = [i for i, q in enumerate(asks) if not q]
+        found: list[tuple[int, int]] = []
+        if not hosts:
+            return _links(found)
+        b = _Block([names[i] for i in hosts], [sets[i] for i in hosts])
+        of = [parts[i] for i in hosts]
+        for i, q in enumerate(asks):
+            if not q:
+                continue
+            known = {parts[i]}
+            for k, group in enumerate(b.groups):
+                if any(of[j] not in known for j in group) and b.qualifies(sets[i], k, num, den):
+                    for j in group:
+                        if of[j] not in known and linked(sets[i], b.sets[j], num, den):
+                            known.add(of[j])
+                            found.append((names[i], b.names[j]))
+        return _links(found)
 
     return search
 
@@ -185,46 +224,50 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # 1. classes of equal sets
     named = scanned.where("doc IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("c1", "c2").agg(F.min("doc").alias("doc")), "ngram-classes")
-    of_class = named.select("doc", "c1", "c2").join(classes.withColumnRenamed("doc", "rep"), ["c1", "c2"]).select("doc", "rep")
+    classes = written(named.groupBy("c1", "c2").agg(F.min("doc").alias("doc"), F.min_by("rows", "doc").alias("rows")), "ngram-classes")
+    reps = classes.select("c1", "c2", F.col("doc").alias("rep"))
+    repeated = named.groupBy("doc").count().where("count > 1").select("doc")
+    again = not repeated.isEmpty()
+    of_class = named.join(repeated, "doc").join(reps, ["c1", "c2"]).select("doc", "rep")
     shared_ids = of_class.groupBy("doc").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
 
     # 2. the rows that several classes have
-    entries = named.join(classes, ["doc", "c1", "c2"], "left_semi").select("doc", F.explode("rows").alias("row"))
+    entries = classes.select("doc", F.explode("rows").alias("row"))
     crowded = entries.groupBy("row").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader != last").select("row", "leader")
-    matrix = written(entries.join(crowded, "row").distinct(), "ngram-matrix")
+    matrix = written(entries.join(crowded, "row"), "ngram-matrix")
 
-    # 3. groups, dealt into chunks, each with its leader
+    # 3. blocks of those led by one class, of bounded size, each with its leader
     led = matrix.groupBy("doc").agg(F.min("leader").alias("leader"))
-    sizes = led.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
-    chunked = written(led.join(sizes, "leader").select("doc", "leader", "chunks", F.pmod(F.xxhash64("doc"), F.col("chunks")).alias("chunk")), "ngram-chunks")
-    visits = chunked.select(F.col("leader").alias("doc"), "leader", "chunk")
-    members = chunked.select("doc", "leader", "chunk").union(visits).distinct()
-    sets = written(_sets(source.join(chunked.select("doc"), "doc", "left_semi"), shingle).distinct(), "ngram-sets")
-    first = written(members.join(sets, "doc").groupBy("leader", "chunk").applyInArrow(_within(num, den), "a long, b long").union(shared_ids), "ngram-links")
-
-    # 4. what still holds several components
-    def placed(links: DataFrame) -> DataFrame:
-        return chunked.select("doc", "leader", "chunk").join(components(links).withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-
-    place = written(placed(first), "ngram-places")
-    weight = place.groupBy("component").agg(F.count("*").alias("weight"))
-    spread = matrix.select("row", "doc").join(place.join(weight, "component"), "doc")
-    mixed = spread.groupBy("row").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("row")
-    open_rows = written(spread.join(mixed, "row", "left_semi"), "ngram-open")
-    q = open_rows.select("row", F.col("doc").alias("q"), F.col("component").alias("qc"), F.col("weight").alias("qw"), F.col("leader").alias("ql"), F.col("chunk").alias("qk"))
-    g = open_rows.select("row", "leader", "chunk", "component", "weight").distinct()
-    asks = q.join(g, "row").where("(qw, qc) < (weight, component) AND NOT (ql = leader AND qk = chunk)").select("q", "leader", "chunk", "component").distinct()
-    asks = written(asks, "ngram-asks")
-    group = ["leader", "chunk", "component"]
-    turns = asks.groupBy(*group).agg(F.ceil(F.count("*") / QUERIES_A_TASK_GROUP).cast("long").alias("turns"))
-    asked = asks.join(turns, group).select(*group, F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), F.col("q").alias("doc"), F.lit(True).alias("query"))
-    hosts = place.join(turns, group).select(*group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "doc", F.lit(False).alias("query"))
-    second = asked.union(hosts).join(sets, "doc").groupBy(*group, "turn").applyInArrow(_across(num, den), "a long, b long")
+    sizes = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    placed = written(led.join(sizes, "leader").select("doc", "leader", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")), "ngram-blocks")
+    visits = placed.select(F.col("leader").alias("doc"), "leader", "block")
+    members = placed.union(visits).distinct()
+    sets = _sets(source.join(placed.select("doc"), "doc", "left_semi"), shingle)
+    sets = written(sets.distinct() if again else sets, "ngram-sets")
+    first = members.join(sets, "doc").groupBy("leader", "block").applyInArrow(_within(num, den), "a long, b long")
+    first = written(first.union(shared_ids) if again else first, "ngram-links")
+
+    # 4. blocks that share a row which still holds several components: the smaller one asks the larger
+    place = placed.join(components(first).withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    place = written(place, "ngram-places")
+    spread = matrix.select("row", "doc").join(place, "doc")
+    mixed = spread.groupBy("row").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("leader", "block")).alias("p"), F.max(F.struct("leader", "block")).alias("q")).where("x != y AND p != q").select("row")
+    block = ["leader", "block"]
+    weight = place.groupBy(*block).agg(F.count("*").alias("weight"))
+    sides = spread.join(mixed, "row", "left_semi").select("row", *block).distinct().join(weight, block)
+    hosts = sides.select("row", F.struct("weight", *block).alias("host"))
+    asking = sides.select("row", F.struct("weight", *block).alias("guest"))
+    pairs = written(asking.join(hosts, "row").where("guest < host").select("guest", "host").distinct(), "ngram-pairs")
+    guests = place.select("doc", "component", F.col("leader").alias("gl"), F.col("block").alias("gb"))
+    asks = pairs.select("host.leader", "host.block", F.col("guest.leader").alias("gl"), F.col("guest.block").alias("gb")).join(guests, ["gl", "gb"]).select(*block, "doc", "component")
+    turns = asks.groupBy(*block).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("turns"))
+    asked = asks.join(turns, block).select(*block, F.pmod(F.xxhash64("doc"), F.col("turns")).alias("turn"), "doc", "component", F.lit(True).alias("query"))
+    hosted = place.join(turns, block).select(*block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "doc", "component", F.lit(False).alias("query"))
+    second = asked.union(hosted).join(sets, "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), "a long, b long")
     links = written(first.union(second), "ngram-links")
 
     of_rep = components(links).select(F.col("node").alias("rep"), "component")
-    answer = classes.withColumnRenamed("doc", "rep").join(of_rep, "rep", "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("component"))
+    answer = reps.join(of_rep, "rep", "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("component"))
     rows = scanned.select("doc", "n", "c1", "c2").join(answer, ["c1", "c2"], "left")
     lone = F.col("doc").isNull() | (F.col("n") == 0)
     return rows.select(

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from textmill.llm import ngram_join, packing, quality_rules, substring_dedup
+from textmill.llm import chat_format, fingerprints, lm_scoring, ngram_join, packing, quality_rules, sentencepiece_codec, shared, substring_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.new_folder(spark, "warc")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(h, CAST(5 * floor(k / 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=9, den=10).drop("class_id")
 
@@ -45,6 +68,10 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
 """
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), window=13).drop("kept_text", "spans")
 
@@ -65,6 +92,14 @@ FROM w LEFT JOIN k USING (doc_id)
 """
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    windows = chat_format.format_windows(turns, vocabulary("byte_bpe_50k.json"), budget=1024, history=256)
+    return chat_format.read_back(windows)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = ~quality_rules.passes(quality_rules.BASE)
@@ -98,14 +133,28 @@ FROM m
 """
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 _ALL: dict[str, tuple[Query, str | None]] = {
+    "op1_token_counts": (op1_token_counts, None),
+    "op2_warc": (op2_warc, OP2_SQL),
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, OP3_SQL),
+    "op4_fingerprints": (op4_fingerprints, None),
     "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
+    "op6_chat_format": (op6_chat_format, None),
     "op7_quality_rules": (op7_quality_rules, OP7_SQL),
+    "op8_lm_scoring": (op8_lm_scoring, None),
+    "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_packing": (op10_packing, None),
 }
 
