@@ -8,7 +8,7 @@ SentencePiece's unigram model with byte fallback:
   scored ten below the least score, and comes out as one byte piece per byte of its UTF-8
 * at equal scores the path whose last piece starts first (the longest last piece) wins at every place
 
-Scores are summed in double precision, where the library rounds to single precision along a text.
+Scores are summed in double precision; the library sums in single precision, which is the same while sums are small.
 
 Pieces hold U+2581 only at their start and never a line break (both checked when a vocabulary is loaded), so the best
 path of a text is that of its chunks, each a run of spaces with the word behind it or a line break with the word
@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Scores from here down stand for "none given"; such pieces get one less than the least score given.
+NO_SCORE = -1e8
 CACHE_CHUNKS, CACHED_CHARS = 400_000, 48
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -47,6 +49,8 @@ class Pieces:
         normal = [i for i in range(len(texts)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         bytes_at = {texts[i]: i for i in range(len(texts)) if model.is_byte(i)}
         scores = {texts[i]: model.get_score(i) for i in normal}
+        floor = min((x for x in scores.values() if x > NO_SCORE), default=0.0) - 1
+        scores = {t: max(x, floor) for t, x in scores.items()}
         shown = ["" if model.is_control(i) or model.is_unknown(i) else t for i, t in enumerate(texts)]
         chunked = not any("\n" in t or SPACE in t.lstrip(SPACE) for t in scores)
         return cls({texts[i]: i for i in normal}, scores, [bytes_at[f"<0x{b:02X}>"] for b in range(256)], shown, min(scores.values()) - UNKNOWN_PENALTY, chunked)
