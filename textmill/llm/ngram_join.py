@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.components import components
 from textmill.llm.hashing import mix, sequence_hash, signed, window_hashes, word_hashes
-from textmill.llm.shared import as_bytes, batch_of, bounded_batches, written
+from textmill.llm.shared import as_bytes, batch_of, bounded_batches, if_small, written
 
 BLOCK = 512
 GROUP = 32
@@ -241,10 +241,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sizes = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     placed = written(led.join(sizes, "leader").select("doc", "leader", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")), "ngram-blocks")
     visits = placed.select(F.col("leader").alias("doc"), "leader", "block")
-    members = placed.union(visits).distinct()
-    sets = _sets(source.join(placed.select("doc"), "doc", "left_semi"), shingle)
+    members = written(placed.union(visits).distinct(), "ngram-members")
+    sets = _sets(source.join(if_small(placed.select("doc")), "doc", "left_semi"), shingle)
     sets = written(sets.distinct() if again else sets, "ngram-sets")
-    first = members.join(sets, "doc").groupBy("leader", "block").applyInArrow(_within(num, den), "a long, b long")
+    first = sets.join(if_small(members), "doc").groupBy("leader", "block").applyInArrow(_within(num, den), "a long, b long")
     first = written(first.union(shared_ids) if again else first, "ngram-links")
 
     # 4. blocks that share a row which still holds several components: the smaller one asks the larger
@@ -263,7 +263,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     turns = asks.groupBy(*block).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("turns"))
     asked = asks.join(turns, block).select(*block, F.pmod(F.xxhash64("doc"), F.col("turns")).alias("turn"), "doc", "component", F.lit(True).alias("query"))
     hosted = place.join(turns, block).select(*block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "doc", "component", F.lit(False).alias("query"))
-    second = asked.union(hosted).join(sets, "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), "a long, b long")
+    meet = written(asked.union(hosted), "ngram-asks")
+    second = sets.join(if_small(meet), "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), "a long, b long")
     links = written(first.union(second), "ngram-links")
 
     of_rep = components(links).select(F.col("node").alias("rep"), "component")

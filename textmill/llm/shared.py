@@ -69,6 +69,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """table (written, with a few numbers a row), marked for broadcast if it has at most so many rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """Lowers the session's Arrow batch size, so that a batch of long texts fits a worker."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
