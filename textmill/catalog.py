@@ -25,6 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
+    from textmill.plans import corpus  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
