@@ -1,7 +1,9 @@
 """Global order, running sums and shards.
 
 A running sum over a whole table would put all rows in one task.  Here rows are range-partitioned once by the order;
-one small row per partition (its sum) gives every partition its offset, and each partition then sums on its own.
+one small row per partition (its sum) gives every partition its offset, and each partition then sums on its own.  The
+partitioned rows are written first: bounds come from a sample, and both uses must see the same ones, also when a lost
+task runs again.  Callers pass keys and lengths, not texts.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.sources.scratch import written
+
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    return written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def running_total(df: DataFrame, order: str | list[str], amount: str, out: str = "running") -> DataFrame:
