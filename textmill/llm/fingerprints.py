@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
 
-from textmill.llm.shared import as_texts, batch_of, bounded_batches, written
+from textmill.llm.shared import as_texts, batch_of, bounded_batches, if_small, written
 
 LEAST = -(2**63)
 
@@ -65,8 +65,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL")
     kind = "fingerprint string, doc long, bytes binary"
-    buckets = source.mapInArrow(scan(False), kind).groupBy("fingerprint").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least != most")
-    rows = written(source.mapInArrow(scan(True), kind).join(buckets.select("fingerprint", "least"), "fingerprint"), "fingerprint-buckets")
+    counted = source.mapInArrow(scan(False), kind).groupBy("fingerprint").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    buckets = written(counted.where("least != most").select("fingerprint", "least"), "fingerprint-counts")
+    rows = written(source.mapInArrow(scan(True), kind).join(if_small(buckets), "fingerprint"), "fingerprint-buckets")
     heads = rows.where("doc = least").groupBy("fingerprint").agg(F.min("bytes").alias("head"))
     compared = rows.join(heads, "fingerprint").select("fingerprint", "doc", "least", (F.col("bytes") == F.col("head")).alias("same"), F.when(F.col("bytes") != F.col("head"), F.col("bytes")).alias("other"))
     strays = compared.where("NOT same").groupBy("fingerprint", "other").agg(F.min("doc").alias("group_id"), F.collect_set("doc").alias("docs")).select(F.explode("docs").alias("doc"), "group_id")
