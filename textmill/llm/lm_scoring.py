@@ -182,7 +182,14 @@ def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixe
     spark = docs.sparkSession
     counts = written(_counted(docs, folds), "lm-counts")
     totals = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.where(F.octet_length("word") <= LONGEST_COMMON_WORD).orderBy(F.desc("n"), "word").limit(common).toArrow()
+    short = counts.where(F.octet_length("word") <= LONGEST_COMMON_WORD)
+    sizes = sorted(((r["size"], r["words"]) for r in short.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, seen = 0, 0
+    for size, n_words in sizes:  # the counts that can be among the common ones: at least 2 ** least
+        least, seen = size, seen + n_words
+        if seen >= common:
+            break
+    top = short.where(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(common).toArrow()
     words = [bytes(w) for w in top.column(0).to_pylist()]
     model = Model(words, top.column(1).to_numpy(), min(unit_words, len(words)), suffixes)
     model.tokens, model.vocabulary = int(totals[0] or 0), int(totals[1])
