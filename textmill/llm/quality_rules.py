@@ -31,6 +31,14 @@ from textmill.llm.shared import fresh
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+
+
+def _here(value: Column) -> Column:
+    """value, computed where it stands: the condition is always true but not deterministic to the optimizer, which
+    would otherwise push a filter on the result down and write the whole nested expression into it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 #: The rules in order of their bits, as conditions on the measurements under which a document fails.
@@ -99,7 +107,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.length(F.col(text)) - F.length(F.translate(F.col(text), SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        _here(covered).alias("n_repeat_words"),
     )
 
 
@@ -108,7 +116,7 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = measure(docs, text_col)
     m = {c: F.col(c) for c in MEASURES}
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(rule(m), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, rule in RULES.items()))
-    return df.select(*[c for c in df.columns if c.lower() != "failed_bits"], bits.alias("failed_bits"))
+    return df.select(*[c for c in df.columns if c.lower() != "failed_bits"], _here(bits).alias("failed_bits"))
 
 
 def passes(policy: Policy, bits: Column | None = None) -> Column:
