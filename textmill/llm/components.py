@@ -8,7 +8,7 @@ sums a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textmill.llm.shared import drop_folder, new_folder
@@ -21,13 +21,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     kept: list[str] = []
 
     def keep(df: DataFrame) -> tuple[DataFrame, tuple]:
-        path = new_folder(spark, "components")
-        df.write.parquet(path)
+        path, seen = new_folder(spark, "components"), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
         kept.append(path)
-        out = spark.read.schema("u long, v long").parquet(path)
-        return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        return spark.read.schema("u long, v long").parquet(path), (seen.get["n"], seen.get["h"])
 
     now, state = keep(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if not state[0]:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

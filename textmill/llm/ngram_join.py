@@ -248,7 +248,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = written(first.union(shared_ids) if again else first, "ngram-links")
 
     # 4. blocks that share a row which still holds several components: the smaller one asks the larger
-    place = placed.join(components(first).withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    joined = components(first)
+    place = placed.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     place = written(place, "ngram-places")
     spread = matrix.select("row", "doc").join(place, "doc")
     mixed = spread.groupBy("row").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("leader", "block")).alias("p"), F.max(F.struct("leader", "block")).alias("q")).where("x != y AND p != q").select("row")
@@ -258,16 +259,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hosts = sides.select("row", F.struct("weight", *block).alias("host"))
     asking = sides.select("row", F.struct("weight", *block).alias("guest"))
     pairs = written(asking.join(hosts, "row").where("guest < host").select("guest", "host").distinct(), "ngram-pairs")
-    guests = place.select("doc", "component", F.col("leader").alias("gl"), F.col("block").alias("gb"))
-    asks = pairs.select("host.leader", "host.block", F.col("guest.leader").alias("gl"), F.col("guest.block").alias("gb")).join(guests, ["gl", "gb"]).select(*block, "doc", "component")
-    turns = asks.groupBy(*block).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("turns"))
-    asked = asks.join(turns, block).select(*block, F.pmod(F.xxhash64("doc"), F.col("turns")).alias("turn"), "doc", "component", F.lit(True).alias("query"))
-    hosted = place.join(turns, block).select(*block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "doc", "component", F.lit(False).alias("query"))
-    meet = written(asked.union(hosted), "ngram-asks")
-    second = sets.join(if_small(meet), "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), "a long, b long")
-    links = written(first.union(second), "ngram-links")
-
-    of_rep = components(links).select(F.col("node").alias("rep"), "component")
+    if not pairs.isEmpty():
+        guests = place.select("doc", "component", F.col("leader").alias("gl"), F.col("block").alias("gb"))
+        asks = pairs.select("host.leader", "host.block", F.col("guest.leader").alias("gl"), F.col("guest.block").alias("gb")).join(guests, ["gl", "gb"]).select(*block, "doc", "component")
+        turns = asks.groupBy(*block).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("turns"))
+        asked = asks.join(turns, block).select(*block, F.pmod(F.xxhash64("doc"), F.col("turns")).alias("turn"), "doc", "component", F.lit(True).alias("query"))
+        hosted = place.join(turns, block).select(*block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "doc", "component", F.lit(False).alias("query"))
+        meet = written(asked.union(hosted), "ngram-asks")
+        second = sets.join(if_small(meet), "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), "a long, b long")
+        links = written(first.union(second), "ngram-links")
+        joined = components(links)
+
+    of_rep = joined.select(F.col("node").alias("rep"), "component")
     answer = reps.join(of_rep, "rep", "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("component"))
     rows = scanned.select("doc", "n", "c1", "c2").join(answer, ["c1", "c2"], "left")
     lone = F.col("doc").isNull() | (F.col("n") == 0)
