@@ -45,3 +45,18 @@ def promote(state: DataFrame, files: DataFrame) -> DataFrame:
     """Reconciles committed shard numbers with those found: action is ok, delete orphan or missing."""
     s, f = state.select("index", F.lit(True).alias("_s")), files.select("index", F.lit(True).alias("_f"))
     return s.join(f, "index", "full").select("index", F.when(F.col("_s").isNull(), "delete orphan").when(F.col("_f").isNull(), "missing").otherwise("ok").alias("action"))
+
+
+def inherited(runs: DataFrame) -> DataFrame:
+    """(run, inherited): the parent's cumulative compute, else that of its stage, else 0."""
+    p = runs.select(F.col("run").alias("parent"), F.col("cumulative").alias("_c"), F.col("stage").alias("_s"))
+    return runs.select("run", "parent").join(p, "parent", "left").select("run", F.coalesce("_c", "_s", F.lit(0.0)).alias("inherited"))
+
+
+def moved(paths: DataFrame, old: str, new: str) -> DataFrame:
+    """Paths under a prefix with target, the path under the new prefix."""
+    return paths.where(F.startswith(F.col("path"), F.lit(old))).withColumn("target", F.concat(F.lit(new), F.substr(F.col("path"), F.lit(len(old) + 1))))
+
+
+def run_tag(state: Column, flops: Column) -> Column:
+    return F.when(state.isin("crashed", "killed"), "interrupted").when((state == "finished") & flops.isNull(), "legacy")
