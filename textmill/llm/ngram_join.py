@@ -204,37 +204,44 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     whose links are those of all its rows; other columns are ignored; an empty table gives no rows.
     """
     parts = Parts(num, den)
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("rows", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+    entry = pa.schema([("row", pa.int64()), ("c1", pa.int64())])
+
+    def named_by(tokens: np.ndarray, seed: int) -> np.int64:
+        return np.uint64(sequence_hash(tokens, seed)).astype(np.int64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c1, c2, rows = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                tokens = shingle_set(text, shingle)
-                n.append(len(tokens))
-                c1.append(np.uint64(sequence_hash(tokens, 1)).astype(np.int64))
-                c2.append(np.uint64(sequence_hash(tokens, 2)).astype(np.int64))
-                rows.append(signed(parts.rows(tokens)) if len(tokens) else np.empty(0, np.int64))
-            flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), flat)
-            yield batch_of(schema, [batch.column(0), n, c1, c2, lists])
+            sets = [shingle_set(text, shingle) for text in as_bytes(batch.column(1))]
+            yield batch_of(schema, [batch.column(0), [len(t) for t in sets], [named_by(t, 1) for t in sets], [named_by(t, 2) for t in sets]])
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = {t.tobytes(): t for t in (shingle_set(text, shingle) for text in as_bytes(batch.column(1))) if len(t)}
+            rows = [parts.rows(t) for t in sets.values()]
+            if rows:
+                names = np.repeat([named_by(t, 1) for t in sets.values()], [len(r) for r in rows])
+                yield batch_of(entry, [signed(np.concatenate(rows)), names])
 
     source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    scanned = written(source.mapInArrow(scan, "doc long, n long, c1 long, c2 long, rows array<long>"), "ngram-scan")
+    scanned = written(source.mapInArrow(scan, "doc long, n long, c1 long, c2 long"), "ngram-scan")
 
     # 1. classes of equal sets
     named = scanned.where("doc IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("c1", "c2").agg(F.min("doc").alias("doc"), F.min_by("rows", "doc").alias("rows")), "ngram-classes")
-    reps = classes.select("c1", "c2", F.col("doc").alias("rep"))
+    reps = written(named.groupBy("c1", "c2").agg(F.min("doc").alias("rep")), "ngram-classes")
     repeated = named.groupBy("doc").count().where("count > 1").select("doc")
     again = not repeated.isEmpty()
     of_class = named.join(repeated, "doc").join(reps, ["c1", "c2"]).select("doc", "rep")
     shared_ids = of_class.groupBy("doc").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
 
     # 2. the rows that several classes have
-    entries = classes.select("doc", F.explode("rows").alias("row"))
-    crowded = entries.groupBy("row").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader != last").select("row", "leader")
-    matrix = written(entries.join(crowded, "row"), "ngram-matrix")
+    # The texts are read twice rather than keeping all rows: few are shared, and those alone are kept.
+    entries = source.where("doc IS NOT NULL").mapInArrow(enter, "row long, c1 long")
+    crowded = entries.groupBy("row").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x != y").select("row")
+    crowded = written(crowded, "ngram-rows")
+    shared = written(entries.join(if_small(crowded, 1_000_000), "row").distinct(), "ngram-shared")
+    filled = written(shared.join(reps.select("c1", F.col("rep").alias("doc")), "c1").select("row", "doc").distinct(), "ngram-filled")
+    matrix = filled.join(filled.groupBy("row").agg(F.min("doc").alias("leader")), "row")
 
     # 3. blocks of those led by one class, of bounded size, each with its leader
     led = matrix.groupBy("doc").agg(F.min("leader").alias("leader"))
