@@ -4,14 +4,22 @@ Every word has a class; P(word | before) = P(class | class before) * P(word | cl
 documents:
 
 1. Word counts, summed in the tasks and then by word; the table is written, as its size follows the corpus.
-2. Units for clustering: the most frequent words, each by itself, and a fixed number of units for all other words by
-   their last two bytes.  Bigram counts of units over the whole training text are a table of bounded size.
-3. Exchange clustering: every unit in turn moves to the class that raises the likelihood of the class bigrams most,
-   until none moves (or the sweeps given are done).
-4. Transitions are smoothed by adding a constant; a word's emission is (count + a) / (class tokens + a * (class words
-   + 1)), so each class keeps one share for words never seen, and the model is a distribution.
-5. Scores: transitions and denominators need the class model alone.  Counts of the most frequent words (a fixed number)
-   go to the tasks by broadcast; occurrences of other words are summed by document and joined with the count table.
+2. Contexts: for each training word its neighbours with their counts, from one pass over the text.  Neighbours among
+   the common words are known by place; pairs of two other words are kept apart, by word.
+3. Classes of the most frequent words (more with a larger vocabulary) by exchange: each in turn moves to the class that
+   raises the likelihood of the class bigrams most, until none moves.
+4. Classes of all common words by sweeps over their contexts: each moves to its likeliest class under the class bigrams
+   of the sweep before, until none moves.  A sweep that does not raise
+   the likelihood is taken back and an eighth of its moves tried; it ends where a part of one move does not.  Words
+   seen fewer than FLOOR times are not swept but classed once, by their contexts.
+5. All other words get their likeliest class by their own contexts: first those with common words, then, for words next
+   to other such words, all of them.
+6. Transitions are counted from all pairs and smoothed by adding a constant; a word's emission is (count + a) / (class
+   tokens + a * (class words + 1)), so each class keeps one share for words never seen, and the model is a
+   distribution.  A word never seen in training has no contexts: it takes the class most training words have that share
+   its bucket of last two bytes.
+7. Scores: pairs of common words are scored in the tasks; other words are listed by document, joined with the table of
+   counts and classes, and the pairs they are in are scored after that.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; one end token closes each text.
 
@@ -37,7 +45,9 @@ from textmill.llm.shared import as_bytes, batch_of, bounded_batches, written
 
 END = b""
 FLUSH_WORDS = 250_000
+FLUSH_TOKENS = 2_000_000
 LONGEST_COMMON_WORD = 64
+FLOOR = 10  # words seen less often take part in no sweep: their classes would learn single texts
 
 
 def held_out(doc: int | None, folds: int = 10) -> bool:
@@ -59,13 +69,12 @@ class _Places(dict):
 
 @dataclass
 class Model:
-    """What the tasks need: bounded by the parameters, not by the corpus."""
+    """What the tasks need: the common words, and tables by class."""
 
     words: list[bytes]  # common words, most frequent first
     counts: np.ndarray
-    n_unit_words: int
     n_suffixes: int
-    classes: np.ndarray | None = None  # of each unit
+    classes: np.ndarray | None = None  # of each common word, then of each bucket of words never seen
     transitions: np.ndarray | None = None  # log10, class before x class
     shares: np.ndarray | None = None  # log10 of the emission's denominator, by class
     tokens: int = 0
@@ -73,21 +82,18 @@ class Model:
 
     def __post_init__(self):
         self.places = _Places((w, i) for i, w in enumerate(self.words))
-        own = np.arange(len(self.words))
-        others = np.array([self.suffix(w) for w in self.words[self.n_unit_words :]], np.int64)
-        self.unit = np.concatenate([own[: self.n_unit_words], others])
-
-    @property
-    def n_units(self) -> int:
-        return self.n_unit_words + self.n_suffixes
 
     def suffix(self, word: bytes) -> int:
-        return self.n_unit_words + zlib.crc32(word[-2:]) % self.n_suffixes
+        return len(self.words) + zlib.crc32(word[-2:]) % self.n_suffixes
+
+    def at(self, words: list[bytes]) -> np.ndarray:
+        """Place of each word, or -1."""
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place or -1, unit) of each word."""
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        unit = self.unit[at] if len(self.unit) else np.zeros(len(at), np.int64)
+        """(place or -1, place or bucket) of each word."""
+        at = self.at(words)
+        unit = at.copy()
         rare = np.flatnonzero(at < 0)
         if len(rare):
             unit[rare] = [self.suffix(words[i]) for i in rare.tolist()]
@@ -112,73 +118,263 @@ def _counted(docs: DataFrame, folds: int) -> DataFrame:
     return docs.mapInArrow(scan, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bigrams(docs: DataFrame, model, folds: int) -> DataFrame:
-    """Counts of pairs of units (first * units + second) in the training text; a text begins after an end."""
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+COUNT = np.int64(1) << 32  # a context is (2 * neighbour + side) * COUNT + count; side 0 is after the word, 1 before it
+
+
+def _contexts(docs: DataFrame, model, folds: int) -> DataFrame:
+    """Contexts of words in the training text; a text begins after an end.
+
+    Rows (place, word, next, n, contexts): of a common word by place, of another word by word, and with place -2 the
+    pairs of two others.
+    """
+    schema = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("next", pa.binary()), ("n", pa.int64()), ("contexts", pa.list_(pa.int64()))])
+
+    def flushed(texts: list[np.ndarray], others: list[bytes], common: int) -> Iterator[pa.RecordBatch]:
+        seq = np.concatenate(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        before = np.roll(seq, 1)
+        before[np.concatenate([[0], ends[:-1]])] = seq[ends - 1]
+        size = common + len(others)
+        pairs, n = np.unique(before * size + seq, return_counts=True)
+        a, b = pairs // size, pairs % size
+        right, left = b < common, a < common
+        owner = np.concatenate([a[right], b[left]])
+        value = np.concatenate([b[right] * 2 * COUNT + n[right], (a[left] * 2 + 1) * COUNT + n[left]])
+        order = np.argsort(owner, kind="stable")
+        owner, value = owner[order], value[order]
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        bounds = np.append(starts, len(owner))
+        for at in range(0, len(starts), 16384):
+            part = bounds[at : at + 16385]
+            who = owner[part[:-1]]
+            words = [None if w < common else others[w - common] for w in who.tolist()]
+            lists = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(value[part[0] : part[-1]]))
+            yield batch_of(schema, [pa.array(np.where(who < common, who, -1)), words, pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.int64()), lists])
+        both = np.flatnonzero(~right & ~left)
+        for at in range(0, len(both), 16384):
+            part = both[at : at + 16384]
+            first, second = ([others[i] for i in (x[part] - common).tolist()] for x in (a, b))
+            yield batch_of(schema, [np.full(len(part), -2), first, second, n[part], pa.nulls(len(part), schema.field("contexts").type)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        units = m.n_units
-        table = np.zeros(units * units, np.int64)
+        common = len(m.words)
+        texts: list[np.ndarray] = []
+        names: dict[bytes, int] = {}
+        size = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if not held_out(doc, folds):
-                    _, unit = m.units(tokens_of(text))
-                    pairs, n = np.unique(np.concatenate([unit[-1:], unit[:-1]]) * units + unit, return_counts=True)
-                    table[pairs] += n
-        found = np.flatnonzero(table)
-        for at in range(0, len(found), 65536):
-            part = found[at : at + 65536]
-            yield batch_of(schema, [part, table[part]])
+                    words = tokens_of(text)
+                    at = m.at(words)
+                    rare = np.flatnonzero(at < 0)
+                    if len(rare):
+                        at[rare] = [common + names.setdefault(words[i], len(names)) for i in rare.tolist()]
+                    texts.append(at)
+                    size += len(at)
+            if size > FLUSH_TOKENS:
+                yield from flushed(texts, list(names), common)
+                texts, names, size = [], {}, 0
+        if texts:
+            yield from flushed(texts, list(names), common)
+
+    return docs.mapInArrow(scan, "place long, word binary, next binary, n long, contexts array<long>")
+
+
+def _by_word(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.flatten(F.collect_list("contexts")).alias("contexts"))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of each entry of a list column."""
+    column = column.fill_null([]) if column.null_count else column
+    sizes = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
 
-    return docs.mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def _by_class(column: pa.Array, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(after, before): counts of neighbours by class of each row of contexts."""
+    row, value = _lists(column)
+    code, n = value // COUNT, value % COUNT
+    kind = classes[code // 2]
+    if (kind < 0).any():  # neighbours without a class
+        row, code, n, kind = (x[kind >= 0] for x in (row, code, n, kind))
+    out = np.bincount((row * 2 + code % 2) * n_classes + kind, n, len(column) * 2 * n_classes).reshape(-1, 2, n_classes)
+    return out[:, 0], out[:, 1]
+
+
+def _likeliest(after: np.ndarray, before: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
+    """Log-likelihood of each row's occurrences in each class, under class bigrams table."""
+    n = len(table)
+    steps = np.log((table + add) / (table.sum(1, keepdims=True) + add * n))
+    occurrences = np.maximum(after.sum(1), before.sum(1))
+    return after @ steps.T + before @ steps - occurrences[:, None] * np.log(table.sum(0) + add)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 6) -> np.ndarray:
-    """Classes of units by exchange clustering of their bigram counts (units x units)."""
-    n = len(bigrams)
+def _likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def exchange(contexts: list[np.ndarray], n_classes: int) -> np.ndarray:
+    """Classes of units by exchange clustering of their contexts with each other, until none moves."""
+    n = len(contexts)
     classes = np.arange(n) % n_classes
-    hot = np.eye(n_classes)[classes]
-    table = hot.T @ bigrams @ hot
-    left, right = bigrams.sum(1), bigrams.sum(0)
-    for _ in range(sweeps):
-        moved = 0
+    nexts, befores, loops = [], [], np.zeros(n)
+    for u, values in enumerate(contexts):
+        code, count = values // COUNT, (values % COUNT).astype(float)
+        other, side = code // 2, code % 2
+        loops[u] = count[(other == u) & (side == 0)].sum()
+        for kept, s in ((nexts, 0), (befores, 1)):
+            these = (side == s) & (other != u)
+            kept.append((other[these], count[these]))
+    table = np.zeros((n_classes, n_classes))
+    for u in range(n):
+        np.add.at(table, (classes[u], classes[nexts[u][0]]), nexts[u][1])
+        table[classes[u], classes[u]] += loops[u]
+    logs = _xlogx(table)
+
+    def put(k: int, after: np.ndarray, before: np.ndarray, loop: float, sign: int) -> None:
+        table[k] += sign * after
+        table[:, k] += sign * before
+        table[k, k] += sign * loop
+        logs[k], logs[:, k] = _xlogx(table[k]), _xlogx(table[:, k])
+
+    moved = True
+    while moved:
+        moved = False
         for u in range(n):
-            if not left[u] and not right[u]:
+            after = np.bincount(classes[nexts[u][0]], nexts[u][1], n_classes)
+            before = np.bincount(classes[befores[u][0]], befores[u][1], n_classes)
+            loop, own = loops[u], classes[u]
+            right, left = after.sum() + loop, before.sum() + loop
+            if not right and not left:
                 continue
-            own = classes[u]
-            after = np.bincount(classes, bigrams[u], n_classes)
-            before = np.bincount(classes, bigrams[:, u], n_classes)
-            loop = bigrams[u, u]
-            after[own] -= loop
-            before[own] -= loop
-            table[own] -= after
-            table[:, own] -= before
-            table[own, own] -= loop
-            rows, columns, corner = table.sum(1), table.sum(0), np.diagonal(table)
-            base = _xlogx(table)
-            gain = (_xlogx(table + after) - base).sum(1) + (_xlogx(table + before[:, None]) - base).sum(0)
+            put(own, after, before, loop, -1)
+            rows, columns, corner = table.sum(1) + before, table.sum(0) + after, np.diagonal(table)  # wherever it moves
+            some, other = np.flatnonzero(after), np.flatnonzero(before)
+            gain = (_xlogx(table[:, some] + after[some]) - logs[:, some]).sum(1) + (_xlogx(table[other] + before[other, None]) - logs[other]).sum(0)
             gain += _xlogx(corner + after + before + loop) - _xlogx(corner + after) - _xlogx(corner + before) + _xlogx(corner)
-            gain -= _xlogx(rows + left[u]) - _xlogx(rows) + _xlogx(columns + right[u]) - _xlogx(columns)
+            gain -= _xlogx(rows + right) - _xlogx(rows) + _xlogx(columns + left) - _xlogx(columns)
             best = int(np.argmax(gain))
-            if gain[best] <= gain[own] + 1e-9:
+            if gain[best] <= gain[own] + 1e-6:
                 best = own
-            moved += best != own
+            moved = moved or best != own
             classes[u] = best
-            table[best] += after
-            table[:, best] += before
-            table[best, best] += loop
-        if not moved:
-            break
+            put(best, after, before, loop, 1)
     return classes
 
 
+_VERDICT = pa.schema([("place", pa.int64()), ("class", pa.int64()), ("table", pa.binary())])
+
+
+def _swept(contexts: DataFrame, classes: np.ndarray, n_classes: int, table: np.ndarray | None, add: float, among: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(classes after a sweep under table, class bigrams of the classes before it); without table none moves."""
+    shared = contexts.sparkSession.sparkContext.broadcast((classes, table))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_classes, under = shared.value
+        total = np.zeros((n_classes, n_classes))
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            after, before = _by_class(batch.column(1), own_classes, n_classes)
+            own = own_classes[place]
+            np.add.at(total, own[own >= 0], after[own >= 0])
+            if under is not None:
+                score = _likeliest(after, before, under, add)
+                best = score.argmax(1)
+                rows = np.arange(len(own))
+                moved = np.flatnonzero(((own < 0) | (score[rows, best] > score[rows, own] + 1e-6)) & (after.any(1) | before.any(1)))
+                if len(moved):
+                    yield batch_of(_VERDICT, [place[moved], best[moved], pa.nulls(len(moved), pa.binary())])
+        yield batch_of(_VERDICT, [[None], [None], [total.tobytes()]])
+
+    found = contexts.mapInArrow(sweep, "place long, class long, table binary").toArrow()
+    shared.destroy()
+    total, after = np.zeros((n_classes, n_classes)), classes.copy()
+    for part in found.column(2).drop_null().to_pylist():
+        total += np.frombuffer(part).reshape(n_classes, n_classes)
+    places, best = (found.column(i).drop_null().to_numpy() for i in (0, 1))
+    after[places] = best
+    return after, total
+
+
+def _clustered(contexts: DataFrame, model: Model, classes: int, units: int, add: float) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each common word or -1 where none of its neighbours has one, class bigrams of the common words)."""
+    units = min(units, len(model.words))
+    lasting = max(units, int((model.counts >= FLOOR).sum()))  # words that sweeps move, the first ones
+    own: list[np.ndarray] = [np.zeros(0, np.int64)] * units
+    inner = F.filter("contexts", lambda x: x < F.lit(int(2 * units * COUNT)))
+    for row in contexts.where(F.col("place") < units).select("place", inner.alias("contexts")).toLocalIterator():
+        own[row["place"]] = np.array(row["contexts"], np.int64)
+    now = np.full(len(model.words), -1)
+    now[:units] = exchange(own, classes)
+    _, table = _swept(contexts, now, classes, None, add)
+    now, table = _seeded(contexts, now, lasting, table, add)
+    after, counted = _swept(contexts, now, classes, table, add)
+    table, likelihood = counted, _likelihood(counted)
+    own_table, parts, turn = False, 1, 0
+    order = np.random.default_rng(0).permutation(len(now))
+    while True:
+        moving = np.flatnonzero((after != now)[:lasting])
+        if not len(moving):
+            if own_table:
+                break
+            after, own_table = _swept(contexts, now, classes, table, add)[0], True
+            continue
+        some = moving[(order[moving] + turn) % parts == 0]
+        turn += 1
+        tried = now.copy()
+        tried[some] = after[some]
+        following, counted = _swept(contexts, tried, classes, table, add)
+        reached = _likelihood(counted)
+        if reached > likelihood:
+            now, after, table, likelihood, own_table = tried, following, counted, reached, False
+        elif parts >= len(moving):
+            break
+        else:
+            parts *= 8
+    return _seeded(contexts, now, len(now), table, add)
+
+
+def _seeded(contexts: DataFrame, now: np.ndarray, upto: int, table: np.ndarray, add: float) -> tuple[np.ndarray, np.ndarray]:
+    """now with the words before upto that have no class in the likeliest by their contexts, and its class bigrams."""
+    while (now[:upto] < 0).any():
+        after = _swept(contexts, now, len(table), table, add)[0]
+        after[upto:], after[now >= 0] = now[upto:], now[now >= 0]
+        if (after == now).all():
+            break
+        now = after
+        table = _swept(contexts, now, len(table), None, add)[1]
+    return now, table
+
+
+def _assigned(rows: DataFrame, classes: np.ndarray, table: np.ndarray, add: float) -> DataFrame:
+    """(word, class) of rows (word, contexts) by likelihood; those without a neighbour that has a class are left out."""
+    n = len(table)
+    shared = rows.sparkSession.sparkContext.broadcast((np.concatenate([classes, np.arange(n)]), table))
+    schema = pa.schema([("word", pa.binary()), ("class", pa.int64())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, under = shared.value
+        for batch in batches:
+            after, before = _by_class(batch.column(1), known, n)
+            some = np.flatnonzero(after.sum(1) + before.sum(1))
+            best = _likeliest(after, before, under, add).argmax(1)
+            yield batch_of(schema, [batch.column(0).take(pa.array(some)).cast(pa.binary()), best[some]])
+
+    return rows.select("word", "contexts").mapInArrow(assign, "word binary, class long")
+
+
 def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixes: int = 256, common: int = 131_072, add: float = 0.1, add_transition: float = 0.5, folds: int = 10):
-    """(model, word counts) of docs (doc, text)."""
+    """(model, table of word, n, class) of docs (doc, text).
+
+    classes and unit_words are the least: there are as many classes as the vocabulary to the power of 0.3, and as many
+    units of the exchange as its square root.
+    """
     spark = docs.sparkSession
     counts = written(_counted(docs, folds), "lm-counts")
     totals = counts.agg(F.sum("n"), F.count("*")).first()
@@ -191,39 +387,80 @@ def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixe
             break
     top = short.where(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(common).toArrow()
     words = [bytes(w) for w in top.column(0).to_pylist()]
-    model = Model(words, top.column(1).to_numpy(), min(unit_words, len(words)), suffixes)
+    model = Model(words, top.column(1).to_numpy(), suffixes)
     model.tokens, model.vocabulary = int(totals[0] or 0), int(totals[1])
+    classes = max(classes, int(model.vocabulary**0.3))
 
     plain = spark.sparkContext.broadcast(model)
-    found = _bigrams(docs, plain, folds).toArrow()
-    bigrams = np.zeros(model.n_units**2)
-    bigrams[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    bigrams = bigrams.reshape(model.n_units, model.n_units)
-    model.classes = exchange(bigrams, classes)
-    hot = np.eye(classes)[model.classes]
-    table = hot.T @ bigrams @ hot
-    model.transitions = np.log10((table + add_transition) / (table.sum(1, keepdims=True) + add_transition * classes))
-
-    schema = pa.schema([("class", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64())])
-    of_unit = model.classes
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    contexts = written(_contexts(docs, plain, folds), "lm-contexts")
+    of_common = written(_by_word(contexts.where("place >= 0"), "place"), "lm-common")
+    known, table = _clustered(of_common, model, classes, max(unit_words, math.isqrt(model.vocabulary)), add_transition)
+
+    # other words, and the pairs of two of them
+    rare = written(_by_word(contexts.where("place = -1"), "word"), "lm-rare")
+    pairs = written(contexts.where("place = -2").groupBy("word", "next").agg(F.sum("n").alias("n")), "lm-pairs")
+    first = written(_assigned(rare, known, table, add_transition), "lm-first")
+    beside = lambda word, other, side: pairs.join(first.withColumnRenamed("word", other), other).select(word, ((2 * (len(words) + F.col("class")) + side) * F.lit(int(COUNT)) + F.col("n")).alias("context"))
+    told = beside("word", "next", 0).union(beside("next", "word", 1).withColumnRenamed("next", "word"))
+    told = told.groupBy("word").agg(F.collect_list("context").alias("told"))
+    told = told.join(rare, "word", "left").select("word", F.concat("told", F.coalesce("contexts", F.array().cast("array<bigint>"))).alias("contexts"))
+    second = _assigned(told, known, table, add_transition).withColumnRenamed("class", "better")
+    found = first.join(second, "word", "full").select("word", F.coalesce("better", "class").alias("class"))
+
+    # the class of each word; of a word without, that of its bucket
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int64()), ("bucket", pa.int64())])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = plain.value
-        tokens, kinds = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
         for batch in batches:
-            _, unit = m.units(as_bytes(batch.column(0)))
-            tokens += np.bincount(of_unit[unit], batch.column(1).to_numpy(), classes).astype(np.int64)
-            kinds += np.bincount(of_unit[unit], minlength=classes)
-        yield batch_of(schema, [np.arange(classes), tokens, kinds])
+            own = as_bytes(batch.column(0))
+            at = m.at(own)
+            kind = batch.column(2).fill_null(-1).to_numpy().copy()
+            kind[at >= 0] = known[at[at >= 0]]
+            yield batch_of(schema, [own, batch.column(1), kind, [m.suffix(w) - len(m.words) for w in own]])
+
+    named = written(counts.join(found, "word", "left").mapInArrow(name, "word binary, n long, class long, bucket long"), "lm-classes")
+    votes = np.zeros((suffixes, classes), np.int64)
+    for row in named.where("class >= 0").groupBy("bucket", "class").count().collect():
+        votes[row["bucket"], row["class"]] = row["count"]
+    buckets = np.where(votes.any(1), votes.argmax(1), votes.sum(0).argmax())
+    own = np.array([buckets[model.suffix(w) - len(words)] if known[i] < 0 else known[i] for i, w in enumerate(words)], np.int64)
+    model.classes = np.concatenate([own, buckets])
+    counts = named.select("word", "n", F.when(F.col("class") >= 0, F.col("class")).otherwise(F.get(F.lit(buckets.tolist()), F.col("bucket").cast("int"))).alias("class"))
+
+    # class bigrams of all pairs
+    _, table = _swept(of_common, own, classes, None, add_transition)
+    table = table + _beside_common(rare.join(counts, "word"), own, classes)
+    left, right = counts.select("word", F.col("class").alias("a")), counts.select(F.col("word").alias("next"), F.col("class").alias("b"))
+    for row in pairs.join(left, "word").join(right, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        table[row["a"], row["b"]] += row["n"]
+    model.transitions = np.log10((table + add_transition) / (table.sum(1, keepdims=True) + add_transition * classes))
 
-    sums = counts.mapInArrow(by_class, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()
     shares = np.full(classes, add)
-    for row in sums:
+    for row in counts.groupBy("class").agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).collect():
         shares[row["class"]] = row["tokens"] + add * (row["words"] + 1)
     model.shares = np.log10(shares)
     return model, counts
 
 
+def _beside_common(rare: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """Class bigrams of the pairs of a common and another word, from rows (contexts, class) of the others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_classes, n_classes))
+        for batch in batches:
+            after, before = _by_class(batch.column(0), classes, n_classes)
+            own = batch.column(1).to_numpy()
+            np.add.at(total, own, after)
+            np.add.at(total.T, own, before)
+        yield batch_of(_VERDICT, [[None], [None], [total.tobytes()]])
+
+    total = np.zeros((n_classes, n_classes))
+    for part in rare.select("contexts", "class").mapInArrow(count, "place long, class long, table binary").toArrow().column(2).to_pylist():
+        total += np.frombuffer(part).reshape(n_classes, n_classes)
+    return total
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, folds: int = 10, **training) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
@@ -233,8 +470,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ad
     source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     model, counts = train(source, add=add, folds=folds, **training)
     shared = source.sparkSession.sparkContext.broadcast(model)
-    pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
-    schema = pa.schema([("doc", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("counted", pa.float64()), ("classed", pa.float64()), ("rare", pair)])
+    listed = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64()), ("fallback", pa.int64())]))
+    whole = pa.list_(pa.int32())
+    schema = pa.schema([("doc", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("counted", pa.float64()), ("classed", pa.float64()), ("rare", listed), ("befores", whole), ("afters", whole)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -244,30 +482,53 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ad
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 words = tokens_of(text)
-                at, unit = m.units(words)
-                kind = m.classes[unit]
+                at = m.at(words)
                 common = at[at >= 0]
-                rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
-                first = m.classes[m.units([END])[1]]
-                classed = float(steps[np.concatenate([first, kind[:-1]]) * n + kind].sum() - m.shares[kind].sum())
-                rows.append((doc, held_out(doc, folds), len(words), len(common), float(logs[common].sum()), classed, [{"word": w, "tf": k} for w, k in rare.items()]))
+                kind = m.classes[at]
+                rare: dict[bytes, int] = {}
+                tf: Counter = Counter()
+                for i in np.flatnonzero(at < 0).tolist():
+                    kind[i] = -1 - rare.setdefault(words[i], len(rare))
+                    tf[words[i]] += 1
+                before = np.roll(kind, 1)
+                both = (before >= 0) & (kind >= 0)
+                classed = float(steps[before[both] * n + kind[both]].sum() - m.shares[kind[kind >= 0]].sum())
+                rows.append((doc, held_out(doc, folds), len(words), len(common), float(logs[common].sum()), classed, [{"word": w, "tf": tf[w], "fallback": int(m.classes[m.suffix(w)])} for w in rare], before[~both], kind[~both]))
             if rows:
                 yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
 
-    kinds = "doc long, held_out boolean, n_tokens long, known long, counted double, classed double, rare array<struct<word: binary, tf: long>>"
+    kinds = "doc long, held_out boolean, n_tokens long, known long, counted double, classed double, rare array<struct<word: binary, tf: long, fallback: long>>, befores array<int>, afters array<int>"
     scanned = written(source.mapInArrow(scan, kinds).withColumn("row", F.monotonically_increasing_id()), "lm-scan")
-    rare = scanned.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(counts, "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * F.log10(n + F.lit(add))).alias("rare_counted"))
-    out = scanned.drop("rare").join(rare, "row", "left")
-    counted = F.col("counted") + F.coalesce("rare_counted", F.lit(0.0))
+    rare = scanned.select("row", F.posexplode("rare").alias("place", "r")).select("row", "place", "r.word", "r.tf", "r.fallback").join(counts, "word", "left")
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("place", "tf", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", "fallback").alias("class"))).alias("rare"))
+    summed = ["known", "counted", "classed"]
+    passed = ["doc", "held_out", "n_tokens"]
+    last = pa.schema([*(schema.field(c) for c in passed), *(schema.field(c) for c in summed)])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            sums = [batch.column(c).to_numpy().copy() for c in summed]
+            found, befores, afters = (batch.column(c) for c in ("rare", "befores", "afters"))
+            for i in np.flatnonzero(np.asarray(found.is_valid())).tolist():
+                place, tf, n, kind = (found[i].values.field(k).to_numpy() for k in range(4))
+                of = np.zeros(len(place), np.int64)
+                of[place] = kind
+                pair = [np.asarray(x[i].values) for x in (befores, afters)]
+                before, after = (np.where(x < 0, of[np.where(x < 0, -1 - x, 0)], x) for x in pair)
+                sums[0][i] += tf[n > 0].sum()
+                sums[1][i] += (tf * np.log10(n + add)).sum()
+                sums[2][i] += m.transitions[before, after].sum() - (tf * m.shares[kind]).sum()
+            yield batch_of(last, [*(batch.column(c) for c in passed), *sums])
+
+    out = scanned.drop("rare").join(rare, "row", "left").mapInArrow(finish, "doc long, held_out boolean, n_tokens long, known long, counted double, classed double")
     spread = math.log10(model.tokens + add * (model.vocabulary + 1))
     return out.select(
         F.col("doc").alias("doc_id"),
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (counted - F.col("n_tokens") * F.lit(spread)).alias("base_score"),
-        (counted + F.col("classed")).alias("score"),
+        (F.col("counted") - F.col("n_tokens") * F.lit(spread)).alias("base_score"),
+        (F.col("counted") + F.col("classed")).alias("score"),
     )
