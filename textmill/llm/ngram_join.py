@@ -13,18 +13,18 @@ towards the components, yet no group of copies is ever expanded into pairs:
 3. Blocks and groups.  Each class joins the block of the least class it shares a row with; large ones are dealt into
    blocks of bounded size that each get a copy of the leader.  Inside a block, classes are put into small groups of
    similar sets (by their least token); a group stores the union of its members' tokens, which bounds a query's
-   overlap with any member.  Only where the bound qualifies is the group opened and its members compared, and only
-   until they are connected.
-4. After components of those links, only rows that still hold several components, in several blocks, matter.  For
-   each pair of blocks that shares such a row, the smaller one's classes query the larger one's groups in the same
-   way.  Pairs are of blocks, not of documents, and queries come in batches of bounded size.
+   overlap with any member.  Only where the bound qualifies is the group opened and its members compared.
+4. For each pair of blocks that shares a row, the smaller one's classes query the larger one's groups in the same way.
+   Pairs are of blocks, not of documents, and queries come in batches of bounded size.
 
-Every pair that could link is either inside one component or compared, so the components are exact.
+Every pair of classes that could link is compared, once where each of them is at home.  A block writes the number of
+links of each of its classes, and as links only what connects them: numbers and components are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,11 +128,14 @@ class _Block:
         return int(np.count_nonzero(union[at] == tokens)) >= needed
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_LINKS = "a long, b long, n long"
 
 
-def _links(found: list[tuple[int, int]]) -> pa.Table:
-    return pa.Table.from_batches([batch_of(_LINK, [[x[0] for x in found], [x[1] for x in found]])])
+def _links(found: list[tuple[int, int]], pairs: Iterable[tuple[int, int]] = ()) -> pa.Table:
+    """Links (a, b) that connect, and the number n of the pairs of each class a (without b)."""
+    n = Counter(x for pair in pairs for x in pair)
+    return pa.Table.from_batches([batch_of(_LINK, [[x[0] for x in found] + list(n), [x[1] for x in found] + [None] * len(n), [None] * len(found) + list(n.values())])])
 
 
 def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -140,9 +143,10 @@ def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _within(num: int, den: int):
-    """Links inside a block that connect what can be connected: fewer than its members."""
+    """The number of links of each class at home in a block, and links that connect what can be connected."""
 
     def compare(block: pa.Table) -> pa.Table:
+        home = block.column("home").to_pylist()
         b = _Block(block.column("doc").to_pylist(), _unpacked(block.column("tokens")))
         root = list(range(len(b.names)))
 
@@ -152,29 +156,35 @@ def _within(num: int, den: int):
                 i = root[i]
             return i
 
-        found = []
+        found, pairs = [], set()
         for k, group in enumerate(b.groups):
             for place, i in enumerate(group):
                 for h in range(k + 1):
                     others = group[:place] if h == k else b.groups[h]
-                    others = [j for j in others if find(j) != find(i)]
+                    others = [j for j in others if home[i] and home[j] or find(j) != find(i)]
                     if others and (h == k or b.qualifies(b.sets[i], h, num, den)):
                         for j in others:
-                            if find(i) != find(j) and (b.names[i] == b.names[j] or linked(b.sets[i], b.sets[j], num, den)):
-                                root[find(i)] = find(j)
-                                found.append((b.names[i], b.names[j]))
-        return _links(found)
+                            same = b.names[i] == b.names[j]
+                            if same or linked(b.sets[i], b.sets[j], num, den):
+                                if home[i] and home[j] and not same:
+                                    pairs.add((min(b.names[i], b.names[j]), max(b.names[i], b.names[j])))
+                                if find(i) != find(j):
+                                    root[find(i)] = find(j)
+                                    found.append((b.names[i], b.names[j]))
+        return _links(found, pairs)
 
     return compare
 
 
 def _across(num: int, den: int):
-    """Links of queries with members of a block in other components: one for each component at most."""
+    """The number of links of queries with members of a block and of these with them, and as links one for each query
+    and component at most."""
 
     def search(block: pa.Table) -> pa.Table:
         names, asks, parts, sets = block.column("doc").to_pylist(), block.column("query").to_pylist(), block.column("component").to_pylist(), _unpacked(block.column("tokens"))
         hosts = [i for i, q in enumerate(asks) if not q]
         found: list[tuple[int, int]] = []
+        pairs: set[tuple[int, int]] = set()
         if not hosts:
             return _links(found)
         b = _Block([names[i] for i in hosts], [sets[i] for i in hosts])
@@ -184,18 +194,21 @@ def _across(num: int, den: int):
                 continue
             known = {parts[i]}
             for k, group in enumerate(b.groups):
-                if any(of[j] not in known for j in group) and b.qualifies(sets[i], k, num, den):
+                if b.qualifies(sets[i], k, num, den):
                     for j in group:
-                        if of[j] not in known and linked(sets[i], b.sets[j], num, den):
-                            known.add(of[j])
-                            found.append((names[i], b.names[j]))
-        return _links(found)
+                        if linked(sets[i], b.sets[j], num, den):
+                            pairs.add((names[i], b.names[j]))
+                            if of[j] not in known:
+                                known.add(of[j])
+                                found.append((names[i], b.names[j]))
+        return _links(found, pairs)
 
     return search
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, class_id (least id with the same set), component_id.
+    """Per row of docs: doc_id, n_shingles, class_id (least id with the same set), n_links (other classes that the class
+    links with), component_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; documents link at a Jaccard similarity of num / den.
 
@@ -247,19 +260,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     led = matrix.groupBy("doc").agg(F.min("leader").alias("leader"))
     sizes = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     placed = written(led.join(sizes, "leader").select("doc", "leader", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")), "ngram-blocks")
-    visits = placed.select(F.col("leader").alias("doc"), "leader", "block")
-    members = written(placed.union(visits).distinct(), "ngram-members")
+    visits = placed.select(F.col("leader").alias("doc"), "leader", "block", F.lit(False).alias("home"))
+    members = placed.withColumn("home", F.lit(True)).union(visits).groupBy("doc", "leader", "block").agg(F.bool_or("home").alias("home"))
+    members = written(members, "ngram-members")
     sets = _sets(source.join(if_small(placed.select("doc")), "doc", "left_semi"), shingle)
     sets = written(sets.distinct() if again else sets, "ngram-sets")
-    first = sets.join(if_small(members), "doc").groupBy("leader", "block").applyInArrow(_within(num, den), "a long, b long")
-    first = written(first.union(shared_ids) if again else first, "ngram-links")
+    first = sets.join(if_small(members), "doc").groupBy("leader", "block").applyInArrow(_within(num, den), _LINKS)
+    found = written(first, "ngram-links")
+    first = found.where("n IS NULL").select("a", "b")
+    first = first.union(shared_ids) if again else first
 
-    # 4. blocks that share a row which still holds several components: the smaller one asks the larger
+    # 4. blocks that share a row: the smaller one asks the larger
     joined = components(first)
     place = placed.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     place = written(place, "ngram-places")
     spread = matrix.select("row", "doc").join(place, "doc")
-    mixed = spread.groupBy("row").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("leader", "block")).alias("p"), F.max(F.struct("leader", "block")).alias("q")).where("x != y AND p != q").select("row")
+    mixed = spread.groupBy("row").agg(F.min(F.struct("leader", "block")).alias("p"), F.max(F.struct("leader", "block")).alias("q")).where("p != q").select("row")
     block = ["leader", "block"]
     weight = place.groupBy(*block).agg(F.count("*").alias("weight"))
     sides = spread.join(mixed, "row", "left_semi").select("row", *block).distinct().join(weight, block)
@@ -273,17 +289,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         asked = asks.join(turns, block).select(*block, F.pmod(F.xxhash64("doc"), F.col("turns")).alias("turn"), "doc", "component", F.lit(True).alias("query"))
         hosted = place.join(turns, block).select(*block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "doc", "component", F.lit(False).alias("query"))
         meet = written(asked.union(hosted), "ngram-asks")
-        second = sets.join(if_small(meet), "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), "a long, b long")
-        links = written(first.union(second), "ngram-links")
-        joined = components(links)
+        second = sets.join(if_small(meet), "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), _LINKS)
+        second = written(second, "ngram-links")
+        found = found.union(second)
+        joined = components(first.union(second.where("n IS NULL").select("a", "b")))
 
     of_rep = joined.select(F.col("node").alias("rep"), "component")
-    answer = reps.join(of_rep, "rep", "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("component"))
+    numbers = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    answer = reps.join(of_rep, "rep", "left").join(numbers, "rep", "left").select("c1", "c2", "rep", "n_links", F.coalesce("component", "rep").alias("component"))
     rows = scanned.select("doc", "n", "c1", "c2").join(answer, ["c1", "c2"], "left")
     lone = F.col("doc").isNull() | (F.col("n") == 0)
     return rows.select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(lone, F.col("doc")).otherwise(F.col("rep")).alias("class_id"),
+        F.when(lone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         F.when(lone, F.col("doc")).otherwise(F.col("component")).alias("component_id"),
     )

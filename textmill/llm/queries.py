@@ -46,7 +46,7 @@ FROM p
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=9, den=10).drop("class_id")
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=9, den=10).drop("class_id", "n_links")
 
 
 OP3_SQL = r"""
