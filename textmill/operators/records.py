@@ -49,10 +49,13 @@ def horizon(runs: DataFrame, *, batch: int, ratio: float) -> DataFrame:
     return runs.select("run", steps.cast("long").alias("steps"))
 
 
-def shifted(ids: Column) -> Column:
-    """(inputs, targets): all but the last, and all but the first."""
+def shifted(ids: Column, mask: Column | None = None) -> Column:
+    """(inputs, targets): all but the last, and all but the first; a target whose place in mask is 0 is -1."""
     n = F.greatest(F.size(ids) - 1, F.lit(0))
-    return F.struct(F.slice(ids, F.lit(1), n).alias("inputs"), F.slice(ids, F.lit(2), n).alias("targets"))
+    targets = F.slice(ids, F.lit(2), n)
+    if mask is not None:
+        targets = F.zip_with(targets, F.slice(mask, F.lit(2), n), lambda x, m: F.when(m == 0, -1).otherwise(x))
+    return F.struct(F.slice(ids, F.lit(1), n).alias("inputs"), targets.alias("targets"))
 
 
 def prompt(shots: Column, question: Column) -> Column:

@@ -151,6 +151,15 @@ def shifted_targets(spark, sf_dir):
     return rows.select("doc_id", F.size("pair.inputs").cast("long").alias("n"), F.when(F.size("pair.targets") > 0, total).alias("targets"))
 
 
+@register("f10_masked_targets", "SELECT doc_id, greatest(n_chars - 1, 0)::BIGINT AS n, CAST(coalesce(list_sum(list_transform(range(1, n_chars::BIGINT), lambda x: CASE WHEN x % 3 = 0 THEN -1 ELSE x END)), 0) AS BIGINT) AS targets FROM documents")
+def masked_targets(spark, sf_dir):
+    """The whole sequence of each document, every third place masked."""
+    ids = F.when(F.col("n_chars") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_chars").cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", records.shifted(ids, F.transform(ids, lambda x: x % 3)).alias("pair"))
+    total = F.aggregate("pair.targets", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("pair.inputs").cast("long").alias("n"), total.alias("targets"))
+
+
 @register("h27_prompt_blocks", "WITH s AS (SELECT item_id, md5(text) AS q FROM benchmark) SELECT a.item_id, md5(string_agg(b.q || ' = ' || (b.item_id % 4), chr(10) || chr(10) ORDER BY b.item_id) || chr(10) || chr(10) || any_value(a.q)) AS digest FROM s a JOIN s b ON b.item_id < 3 GROUP BY a.item_id")
 def prompt_blocks(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.md5("text").alias("q"))
