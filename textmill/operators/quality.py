@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.text import parse_year
+from textmill.operators.dedup import claim_dedup
 
 
 @dataclass(frozen=True)
@@ -120,11 +121,29 @@ def rejections(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("reject_reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def compare_profiles(books: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
-    """Per profile: rows passing, their tokens and pages, from one scan."""
-    base = next(iter(profiles.values()))
-    rows = derived(books, base)
+def profile_verdicts(books: DataFrame, profiles: dict[str, Profile], *, order: str = "doc_id", key: str = "barcode", duplicates: str | None = None) -> DataFrame:
+    """A row for each book and profile (and legacy) with its reason, null if it passes.  Of the rows that pass a
+    profile, those whose key an earlier one has claimed are a `duplicate`; rejected rows claim nothing."""
+    rows = derived(books, next(iter(profiles.values())))
+    lists = F.col(duplicates) if duplicates else F.lit(None).cast("array<string>")
     verdict = F.array(*(F.struct(F.lit(n).alias("profile"), reject_reason(p).alias("reason")) for n, p in profiles.items()), F.struct(F.lit("legacy").alias("profile"), legacy_reason().alias("reason")))
-    per = rows.select("tokens", "pages", F.explode(verdict).alias("v"))
-    ok = F.col("v.reason").isNull()
-    return per.groupBy(F.col("v.profile").alias("profile")).agg(F.sum(ok.cast("long")).alias("n_passed"), F.sum(F.when(ok, F.col("tokens")).otherwise(0)).alias("tokens"), F.sum(F.when(ok, F.col("pages")).otherwise(0)).alias("pages"))
+    per = rows.select(F.col(order).alias("order"), F.col(key).alias("key"), lists.alias("lists"), "tokens", "pages", "topic", "year", F.explode(verdict).alias("v")).select("*", "v.profile", "v.reason").drop("v")
+    tagged = lambda c: F.concat("profile", F.lit(":"), c)
+    passing = per.where("reason IS NULL").select(F.struct("order", "profile").alias("at"), tagged(F.col("key")).alias("key"), F.transform("lists", tagged).alias("lists"))
+    claimed = claim_dedup(passing, order="at", key="key", duplicates="lists").where("is_duplicate").select("at.order", "at.profile", F.lit("duplicate").alias("claimed"))
+    return per.join(claimed, ["order", "profile"], "left").withColumn("reason", F.coalesce("reason", "claimed")).drop("claimed")
+
+
+def profile_counts(verdicts: DataFrame) -> DataFrame:
+    """Per profile: rows by rejection, and passing rows by topic and by decade, as (profile, kind, value, n)."""
+    ok = F.col("reason").isNull()
+    topic = F.when(F.coalesce("topic", F.lit("")) == "", "UNKNOWN").otherwise(F.col("topic"))
+    decade = (F.floor(F.col("year") / 10) * 10).cast("string")
+    kinds = F.when(~ok, F.array(F.struct(F.lit("rejection").alias("kind"), F.col("reason").alias("value")))).otherwise(F.array(F.struct(F.lit("topic").alias("kind"), topic.alias("value")), F.struct(F.lit("decade").alias("kind"), decade.alias("value"))))
+    return verdicts.select("profile", F.explode(kinds).alias("k")).where("k.value IS NOT NULL").groupBy("profile", "k.kind", "k.value").agg(F.count("*").alias("n"))
+
+
+def compare_profiles(books: DataFrame, profiles: dict[str, Profile], **claims: str) -> DataFrame:
+    """Per profile: rows passing that are no duplicates, their tokens and pages."""
+    ok = F.col("reason").isNull()
+    return profile_verdicts(books, profiles, **claims).groupBy("profile").agg(F.sum(ok.cast("long")).alias("n_passed"), F.sum(F.when(ok, F.col("tokens")).otherwise(0)).alias("tokens"), F.sum(F.when(ok, F.col("pages")).otherwise(0)).alias("pages"))
