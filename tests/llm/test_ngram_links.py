@@ -37,3 +37,10 @@ def test_every_link_of_near_copies_counts(spark, monkeypatch):
         rows = ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == wanted
     assert max(n for _, n in wanted.values()) > 2
+
+
+def test_an_id_with_and_without_words(spark):
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, None), (1, words), (1, ""), (2, words + " more"), (3, "other words here")]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["n_links"], r["component_id"]) for r in found) == [(1, 0, 0, 1), (1, 0, 0, 1), (1, 98, 1, 1), (2, 99, 1, 1), (3, 1, 0, 3)]

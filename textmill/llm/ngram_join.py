@@ -95,14 +95,14 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, tokens as bytes) of docs (doc, text)."""
+    """(doc, tokens as bytes) of docs (doc, text) that have tokens."""
     schema = pa.schema([("doc", pa.int64()), ("tokens", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch_of(schema, [batch.column(0), [shingle_set(t, size).tobytes() for t in as_bytes(batch.column(1))]])
 
-    return docs.mapInArrow(make, "doc long, tokens binary")
+    return docs.mapInArrow(make, "doc long, tokens binary").where(F.octet_length("tokens") > 0)
 
 
 class _Block:
