@@ -4,21 +4,23 @@ Documents link when the Jaccard similarity of their sets of word shingles reache
 towards the components, yet no group of copies is ever expanded into pairs:
 
 1. Equal sets collapse into a class, named by its least document id.
-2. Rows of the matrix.  A set is cut into parts by hash range, more parts than two similar sets can differ in, so at
-   least one part is equal in both (pigeonhole).  The hash of a part's tokens is the row that candidates share; it
-   needs all tokens of the part to agree, so frequent shingles alone bring nobody together.  The number of parts
-   depends on the size band; a set near its band's upper end is also entered in the next.  Parts with very few tokens
-   say little: with ``slack`` more parts than needed, they are only entered for sets that have more than slack of
-   them - two sets whose equal parts are all weak both have that many.
-3. Blocks and groups.  Each class joins the block of the least class it shares a row with; large ones are dealt into
-   blocks of bounded size that each get a copy of the leader.  Inside a block, classes are put into small groups of
-   similar sets (by their least token); a group stores the union of its members' tokens, which bounds a query's
-   overlap with any member.  Only where the bound qualifies is the group opened and its members compared.
-4. For each pair of blocks that shares a row, the smaller one's classes query the larger one's groups in the same way.
-   Pairs are of blocks, not of documents, and queries come in batches of bounded size.
-
-Every pair of classes that could link is compared, once where each of them is at home.  A block writes the number of
-links of each of its classes, and as links only what connects them: numbers and components are exact.
+2. Rows of the matrix.  A set is cut into parts by hash range, more parts than two linked sets can differ in, so some
+   parts are equal in both (pigeonhole).  The hash of a part's tokens is the row that candidates share.  The number of
+   parts depends on the size band; a set near its band's upper end is also entered in the next.
+3. Prefixes.  With ``slack`` more parts than needed, linked sets have at least 1 + slack rows in common, so each set
+   may leave out the first ``slack`` of its rows in any order that is the same for all: empty parts first, then the
+   rows that most sets have.  A passage that many documents share is left out by all that have enough else, and a set
+   with fewer shared rows than that links with nothing.
+4. Groups of similar documents.  Every row has a leader, the least class that has it; a class visits the leaders of its
+   rows.  Two classes are compared at the least leader that both visit, and visits where everybody has met before are
+   left out.  Large gatherings are dealt into pairs of blocks of bounded size.
+5. Inside a block, classes are put into small groups of similar sets (by their least token); a group stores the union
+   of its members' tokens and which member has which.  A query's overlap with the union bounds that with any member;
+   only where the bound qualifies is the group opened.
+
+Every pair of classes that could link is compared exactly once.  A block writes the number of links of each of its
+classes, and as links only what connects them: numbers and components are exact, up to equal 64-bit hashes of unequal
+shingles.
 """
 
 from __future__ import annotations
@@ -28,17 +30,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.components import components
 from textmill.llm.hashing import mix, sequence_hash, signed, window_hashes, word_hashes
 from textmill.llm.shared import as_bytes, batch_of, bounded_batches, if_small, written
 
-BLOCK = 512
+BLOCK = 512  # most classes of a block's side,
+BLOCK_TOKENS = 1_000_000  # and about as many tokens
 GROUP = 32
 BAND = 1.5
-WEAK = 3
+SLACK = 4  # parts added, for so many that two linked sets can differ in
+EMPTY = 1 << 40  # in a row's tag
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -62,36 +66,31 @@ class Parts:
         """Most tokens that are in one only of two linked sets of at most top tokens each."""
         return 2 * top * (self.den - self.num) // (self.den + self.num)
 
-    def rows(self, tokens: np.ndarray) -> np.ndarray:
+    def rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, tag) of a set.  A tag holds the band, whether the part is empty, and the number of rows of its kind
+        that the set may leave out besides those left out here."""
         n = len(tokens)
         band = int(np.searchsorted(self.tops, n))
         bands = [band, band + 1] if n * self.den >= self.num * (self.tops[band] + 1) else [band]
         mixed = mix(tokens + np.uint64(1))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
         high = tokens >> np.uint64(32)
-        out = []
+        rows, tags = [], []
         for b in bands:
             differ = self.differ(self.tops[b])
-            slack = -(-differ // 8)
+            slack = -(-differ // SLACK)
             parts = differ + 1 + slack
             cuts = np.searchsorted((high * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
-            filled = cuts[1:] - cuts[:-1]
-            rows = mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b << 40))
-            strong = filled >= WEAK
-            out.append(rows if parts - np.count_nonzero(strong) > slack else rows[strong])
-        return np.concatenate(out)
-
-
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Whether den * |a & b| >= num * |a | b|."""
-    if len(a) > len(b):
-        a, b = b, a
-    if den * len(a) < num * len(b):
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    same = int(np.count_nonzero(b[at] == a))
-    return den * same >= num * (len(a) + len(b) - same)
+            own = mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b << 40))
+            empty = cuts[1:] == cuts[:-1]
+            n_empty = int(np.count_nonzero(empty))
+            if n_empty <= slack:  # all empty parts are left out, and so may be the rest of the slack
+                own, left = own[~empty], np.full(parts - n_empty, slack - n_empty)
+            else:  # only empty parts may be left out
+                left = np.where(empty, EMPTY + slack, 0)
+            rows.append(own)
+            tags.append(left + 2 * EMPTY * b)
+        return np.concatenate(rows), np.concatenate(tags)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -105,50 +104,61 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(make, "doc long, tokens binary").where(F.octet_length("tokens") > 0)
 
 
-class _Block:
-    """Classes of one block in groups of similar sets, each with the union of its tokens."""
-
-    def __init__(self, names: list[int], sets: list[np.ndarray]):
-        self.names, self.sets = names, sets
-        order = sorted(range(len(names)), key=lambda i: (int(sets[i][0]), len(sets[i]), names[i]))
-        self.groups = [order[k : k + GROUP] for k in range(0, len(order), GROUP)]
-        self.unions = [np.unique(np.concatenate([sets[i] for i in g])) if len(g) > 1 else sets[g[0]] for g in self.groups]
-        self.least = [min(len(sets[i]) for i in g) for g in self.groups]
-        self.most = [max(len(sets[i]) for i in g) for g in self.groups]
-
-    def qualifies(self, tokens: np.ndarray, k: int, num: int, den: int) -> bool:
-        """Whether the union of group k leaves room for a member that links with a query."""
-        smallest = max(self.least[k], -(-num * len(tokens) // den))
-        if smallest > self.most[k] or num * smallest > den * len(tokens):
-            return False
-        needed = -(-num * (len(tokens) + smallest) // (num + den))
+class _Groups:
+    """Sets in groups of similar ones, each with the union of its tokens and which member has which."""
+
+    def __init__(self, sets: list[np.ndarray], members: Iterable[int]):
+        order = sorted(members, key=lambda i: (int(sets[i][0]), len(sets[i]), i))
+        self.members = [np.array(order[k : k + GROUP]) for k in range(0, len(order), GROUP)]
+        self.sizes = [np.array([len(sets[i]) for i in g]) for g in self.members]
+        self.unions, self.has = [], []
+        for g in self.members:
+            union, at = np.unique(np.concatenate([sets[i] for i in g]), return_inverse=True)
+            has = np.zeros((len(union), len(g)), np.uint8)
+            has[at, np.repeat(np.arange(len(g)), [len(sets[i]) for i in g])] = 1
+            self.unions.append(union)
+            self.has.append(has)
+
+    def linked(self, tokens: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
+        """Members of group k whose similarity with a query is num / den or more."""
+        n, sizes = len(tokens), self.sizes[k]
+        fits = (num * sizes <= den * n) & (num * n <= den * sizes)
+        if not fits.any():
+            return self.members[k][:0]
+        needed = (num * (n + sizes) + num + den - 1) // (num + den)
         union = self.unions[k]
         at = np.searchsorted(union, tokens)
         at[at == len(union)] = 0
-        return int(np.count_nonzero(union[at] == tokens)) >= needed
+        at = at[union[at] == tokens]
+        if len(at) < needed[fits].min():  # the union leaves no room for such a member
+            return self.members[k][:0]
+        return self.members[k][fits & (self.has[k][at].sum(axis=0, dtype=np.int32) >= needed)]
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 _LINKS = "a long, b long, n long"
 
 
-def _links(found: list[tuple[int, int]], pairs: Iterable[tuple[int, int]] = ()) -> pa.Table:
-    """Links (a, b) that connect, and the number n of the pairs of each class a (without b)."""
-    n = Counter(x for pair in pairs for x in pair)
-    return pa.Table.from_batches([batch_of(_LINK, [[x[0] for x in found] + list(n), [x[1] for x in found] + [None] * len(n), [None] * len(found) + list(n.values())])])
-
-
-def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-
+def _compared(num: int, den: int):
+    """The number of links of each class of a block, and links (a, b) that connect what can be connected.
 
-def _within(num: int, den: int):
-    """The number of links of each class at home in a block, and links that connect what can be connected."""
+    A block holds the classes of two sides that visit one leader, or of one side.  Two classes are compared here if
+    this is the least leader that both visit.
+    """
 
     def compare(block: pa.Table) -> pa.Table:
-        home = block.column("home").to_pylist()
-        b = _Block(block.column("doc").to_pylist(), _unpacked(block.column("tokens")))
-        root = list(range(len(b.names)))
+        leader, low, high = (block.column(c)[0].as_py() for c in ("leader", "low", "high"))
+        names, sides = block.column("doc").to_pylist(), block.column("side").to_pylist()
+        leaders = [frozenset(x) for x in block.column("leaders").to_pylist()]
+        homes = np.array([min(x) for x in leaders])
+        sets = [np.frombuffer(x, np.uint64) for x in block.column("tokens").to_pylist()]
+        groups = _Groups(sets, [i for i, s in enumerate(sides) if s == low])
+        met = [homes[g] if (homes[g] == homes[g[0]]).all() and homes[g[0]] < leader else None for g in groups.members]
+        same: dict[int, list[int]] = {}  # sets of a class name: several where an id has several texts
+        for i, s in enumerate(sides):
+            if s == high:
+                same.setdefault(names[i], []).append(i)
+        root = list(range(len(names)))
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -156,56 +166,29 @@ def _within(num: int, den: int):
                 i = root[i]
             return i
 
-        found, pairs = [], set()
-        for k, group in enumerate(b.groups):
-            for place, i in enumerate(group):
-                for h in range(k + 1):
-                    others = group[:place] if h == k else b.groups[h]
-                    others = [j for j in others if home[i] and home[j] or find(j) != find(i)]
-                    if others and (h == k or b.qualifies(b.sets[i], h, num, den)):
-                        for j in others:
-                            same = b.names[i] == b.names[j]
-                            if same or linked(b.sets[i], b.sets[j], num, den):
-                                if home[i] and home[j] and not same:
-                                    pairs.add((min(b.names[i], b.names[j]), max(b.names[i], b.names[j])))
-                                if find(i) != find(j):
-                                    root[find(i)] = find(j)
-                                    found.append((b.names[i], b.names[j]))
-        return _links(found, pairs)
+        found: list[tuple[int, int]] = []
+        numbers: Counter = Counter()
+        for name, own in same.items():
+            partners: dict[int, int] = {}
+            for i in own:
+                for k in range(len(groups.members)):
+                    if met[k] is not None and met[k][0] == homes[i]:
+                        continue
+                    for j in groups.linked(sets[i], k, num, den).tolist():
+                        if (names[j] < name or low != high) and min(leaders[i] & leaders[j], default=None) == leader:
+                            partners[names[j]] = j
+            for other, j in partners.items():
+                numbers[name] += 1
+                numbers[other] += 1
+                if find(own[0]) != find(j):
+                    root[find(own[0])] = find(j)
+                    found.append((name, other))
+        n = len(found)
+        return pa.Table.from_batches([batch_of(_LINK, [[x[0] for x in found] + list(numbers), [x[1] for x in found] + [None] * len(numbers), [None] * n + list(numbers.values())])])
 
     return compare
 
 
-def _across(num: int, den: int):
-    """The number of links of queries with members of a block and of these with them, and as links one for each query
-    and component at most."""
-
-    def search(block: pa.Table) -> pa.Table:
-        names, asks, parts, sets = block.column("doc").to_pylist(), block.column("query").to_pylist(), block.column("component").to_pylist(), _unpacked(block.column("tokens"))
-        hosts = [i for i, q in enumerate(asks) if not q]
-        found: list[tuple[int, int]] = []
-        pairs: set[tuple[int, int]] = set()
-        if not hosts:
-            return _links(found)
-        b = _Block([names[i] for i in hosts], [sets[i] for i in hosts])
-        of = [parts[i] for i in hosts]
-        for i, q in enumerate(asks):
-            if not q:
-                continue
-            known = {parts[i]}
-            for k, group in enumerate(b.groups):
-                if b.qualifies(sets[i], k, num, den):
-                    for j in group:
-                        if linked(sets[i], b.sets[j], num, den):
-                            pairs.add((names[i], b.names[j]))
-                            if of[j] not in known:
-                                known.add(of[j])
-                                found.append((names[i], b.names[j]))
-        return _links(found, pairs)
-
-    return search
-
-
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, class_id (least id with the same set), n_links (other classes that the class
     links with), component_id.
@@ -218,7 +201,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     parts = Parts(num, den)
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
-    entry = pa.schema([("row", pa.int64()), ("c1", pa.int64())])
+    entry = pa.schema([("row", pa.int64()), ("c1", pa.int64()), ("tag", pa.int64())])
 
     def named_by(tokens: np.ndarray, seed: int) -> np.int64:
         return np.uint64(sequence_hash(tokens, seed)).astype(np.int64)
@@ -231,17 +214,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = {t.tobytes(): t for t in (shingle_set(text, shingle) for text in as_bytes(batch.column(1))) if len(t)}
-            rows = [parts.rows(t) for t in sets.values()]
-            if rows:
-                names = np.repeat([named_by(t, 1) for t in sets.values()], [len(r) for r in rows])
-                yield batch_of(entry, [signed(np.concatenate(rows)), names])
+            entered = [parts.rows(t) for t in sets.values()]
+            if entered:
+                names = np.repeat([named_by(t, 1) for t in sets.values()], [len(r) for r, _ in entered])
+                yield batch_of(entry, [signed(np.concatenate([r for r, _ in entered])), names, np.concatenate([t for _, t in entered])])
 
     source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     scanned = written(source.mapInArrow(scan, "doc long, n long, c1 long, c2 long"), "ngram-scan")
 
     # 1. classes of equal sets
     named = scanned.where("doc IS NOT NULL AND n > 0")
-    reps = written(named.groupBy("c1", "c2").agg(F.min("doc").alias("rep")), "ngram-classes")
+    reps = written(named.groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("n").alias("size")), "ngram-classes")
+    reps_of_sizes = reps.groupBy(F.col("rep").alias("doc")).agg(F.max("size").alias("size"))
     repeated = named.groupBy("doc").count().where("count > 1").select("doc")
     again = not repeated.isEmpty()
     of_class = named.join(repeated, "doc").join(reps, ["c1", "c2"]).select("doc", "rep")
@@ -249,60 +233,42 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # 2. the rows that several classes have
     # The texts are read twice rather than keeping all rows: few are shared, and those alone are kept.
-    entries = source.where("doc IS NOT NULL").mapInArrow(enter, "row long, c1 long")
+    entries = source.where("doc IS NOT NULL").mapInArrow(enter, "row long, c1 long, tag long")
     crowded = entries.groupBy("row").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x != y").select("row")
     crowded = written(crowded, "ngram-rows")
     shared = written(entries.join(if_small(crowded, 1_000_000), "row").distinct(), "ngram-shared")
-    filled = written(shared.join(reps.select("c1", F.col("rep").alias("doc")), "c1").select("row", "doc").distinct(), "ngram-filled")
-    matrix = filled.join(filled.groupBy("row").agg(F.min("doc").alias("leader")), "row")
-
-    # 3. blocks of those led by one class, of bounded size, each with its leader
-    led = matrix.groupBy("doc").agg(F.min("leader").alias("leader"))
-    sizes = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = written(led.join(sizes, "leader").select("doc", "leader", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")), "ngram-blocks")
-    visits = placed.select(F.col("leader").alias("doc"), "leader", "block", F.lit(False).alias("home"))
-    members = placed.withColumn("home", F.lit(True)).union(visits).groupBy("doc", "leader", "block").agg(F.bool_or("home").alias("home"))
-    members = written(members, "ngram-members")
-    sets = _sets(source.join(if_small(placed.select("doc")), "doc", "left_semi"), shingle)
+
+    # 3. the prefix of each class, and the leader of each row
+    empty, left = F.col("tag").bitwiseAND(F.lit(EMPTY)), F.col("tag").bitwiseAND(F.lit(EMPTY - 1))
+    counted = shared.join(shared.groupBy("row").agg(F.count("*").alias("n")), "row").withColumn("empty", empty)
+    place = F.row_number().over(Window.partitionBy("c1", F.col("tag").bitwiseAND(F.lit(-2 * EMPTY))).orderBy(F.desc("empty"), F.desc("n"), "row"))
+    prefix = counted.withColumn("place", place).where(F.col("place") > left).select("row", "c1")
+    prefix = written(prefix.join(reps.select("c1", F.col("rep").alias("doc")), "c1").select("row", "doc").distinct(), "ngram-prefixes")
+    led = prefix.groupBy("row").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader != last").select("row", "leader")
+
+    # 4. visits, but those where everybody has met at an earlier leader
+    visits = prefix.join(led, "row").groupBy("doc").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    visits = written(visits.join(reps_of_sizes, "doc"), "ngram-visits")
+    each = visits.select("doc", F.col("leaders")[0].alias("home"), "size", F.explode("leaders").alias("leader"))
+    gatherings = each.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("home").alias("x"), F.max("home").alias("y"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_TOKENS)).cast("long")
+    gatherings = written(gatherings.where("x != y OR x = leader").select("leader", blocks.alias("blocks")), "ngram-leaders")
+    dealt = visits.withColumn("leader", F.explode("leaders")).join(if_small(gatherings), "leader")
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("doc", "leaders", "leader", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+
+    # 5. comparison
+    sets = _sets(source.join(if_small(visits.select("doc")), "doc", "left_semi"), shingle)
     sets = written(sets.distinct() if again else sets, "ngram-sets")
-    first = sets.join(if_small(members), "doc").groupBy("leader", "block").applyInArrow(_within(num, den), _LINKS)
-    found = written(first, "ngram-links")
-    first = found.where("n IS NULL").select("a", "b")
-    first = first.union(shared_ids) if again else first
-
-    # 4. blocks that share a row: the smaller one asks the larger
-    joined = components(first)
-    place = placed.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    place = written(place, "ngram-places")
-    spread = matrix.select("row", "doc").join(place, "doc")
-    mixed = spread.groupBy("row").agg(F.min(F.struct("leader", "block")).alias("p"), F.max(F.struct("leader", "block")).alias("q")).where("p != q").select("row")
-    block = ["leader", "block"]
-    weight = place.groupBy(*block).agg(F.count("*").alias("weight"))
-    sides = spread.join(mixed, "row", "left_semi").select("row", *block).distinct().join(weight, block)
-    hosts = sides.select("row", F.struct("weight", *block).alias("host"))
-    asking = sides.select("row", F.struct("weight", *block).alias("guest"))
-    pairs = written(asking.join(hosts, "row").where("guest < host").select("guest", "host").distinct(), "ngram-pairs")
-    if not pairs.isEmpty():
-        guests = place.select("doc", "component", F.col("leader").alias("gl"), F.col("block").alias("gb"))
-        asks = pairs.select("host.leader", "host.block", F.col("guest.leader").alias("gl"), F.col("guest.block").alias("gb")).join(guests, ["gl", "gb"]).select(*block, "doc", "component")
-        turns = asks.groupBy(*block).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("turns"))
-        asked = asks.join(turns, block).select(*block, F.pmod(F.xxhash64("doc"), F.col("turns")).alias("turn"), "doc", "component", F.lit(True).alias("query"))
-        hosted = place.join(turns, block).select(*block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "doc", "component", F.lit(False).alias("query"))
-        meet = written(asked.union(hosted), "ngram-asks")
-        second = sets.join(if_small(meet), "doc").groupBy(*block, "turn").applyInArrow(_across(num, den), _LINKS)
-        second = written(second, "ngram-links")
-        found = found.union(second)
-        joined = components(first.union(second.where("n IS NULL").select("a", "b")))
+    met = dealt.join(sets, "doc").groupBy("leader", "low", "high").applyInArrow(_compared(num, den), _LINKS)
+    found = written(met, "ngram-links")
+    links = found.where("n IS NULL").select("a", "b")
+    joined = components(links.union(shared_ids) if again else links)
 
     of_rep = joined.select(F.col("node").alias("rep"), "component")
     numbers = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     answer = reps.join(of_rep, "rep", "left").join(numbers, "rep", "left").select("c1", "c2", "rep", "n_links", F.coalesce("component", "rep").alias("component"))
-    rows = scanned.select("doc", "n", "c1", "c2").join(answer, ["c1", "c2"], "left")
-    lone = F.col("doc").isNull() | (F.col("n") == 0)
-    return rows.select(
-        F.col("doc").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(lone, F.col("doc")).otherwise(F.col("rep")).alias("class_id"),
-        F.when(lone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
-        F.when(lone, F.col("doc")).otherwise(F.col("component")).alias("component_id"),
-    )
+    linked = scanned.where("doc IS NOT NULL AND n > 0").join(answer, ["c1", "c2"], "left")
+    lone = scanned.where("doc IS NULL OR n = 0").select("doc", "n", F.col("doc").alias("rep"), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("component"))
+    rows = linked.select("doc", "n", "rep", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component").union(lone)
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), "n_links", F.col("component").alias("component_id"))
