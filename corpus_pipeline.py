@@ -25,11 +25,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id are one document, of which the first text in order stays; rows without id all stay.
     """
     found = ngram_join.jaccard_components(docs, shingle=5, num=4, den=5)
-    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
+    copies = shared.written(found.where("doc_id != component_id").select("doc_id").distinct(), "pipeline-copies")
+    kept = docs.join(shared.if_small(copies), "doc_id", "left_anti").select(*docs.columns)
+    repeated = shared.written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-ids")
+    if repeated.isEmpty():
+        return kept
     (place,) = shared.fresh(docs, "_place")
-    kept = docs.join(least, docs["doc_id"] == F.col("_least"), "left_semi")
-    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1).drop(place)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    several = kept.join(shared.if_small(repeated), "doc_id", "left_semi").select(*docs.columns)
+    first = several.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1).drop(place)
+    return kept.join(shared.if_small(repeated), "doc_id", "left_anti").select(*docs.columns).union(first)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
