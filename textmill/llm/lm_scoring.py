@@ -6,18 +6,17 @@ documents:
 1. Word counts, summed in the tasks and then by word; the table is written, as its size follows the corpus.
 2. Contexts: for each training word its neighbours with their counts, from one pass over the text.  Neighbours among
    the common words are known by place; pairs of two other words are kept apart, by word.
-3. Classes of the most frequent words (more with a larger vocabulary) by exchange: each in turn moves to the class that
+3. Classes of the most frequent words (more with a larger vocabulary, 2,048 at most) by exchange: each in turn moves to the class that
    raises the likelihood of the class bigrams most, until none moves.
 4. Classes of all common words by sweeps over their contexts: each moves to its likeliest class under the class bigrams
-   of the sweep before, until none moves.  A sweep that does not raise
-   the likelihood is taken back and an eighth of its moves tried; it ends where a part of one move does not.  Words
-   seen fewer than FLOOR times are not swept but classed once, by their contexts.
-5. All other words get their likeliest class by their own contexts: first those with common words, then, for words next
-   to other such words, all of them.
+   of the sweep before, until none moves or a sweep raises the likelihood by less than a set share of it.  A sweep that
+   lowers it is taken back, and from then on an eighth of the moves is made at a time.  Words seen fewer than FLOOR times
+   are not swept but classed once, by their contexts.
+5. All other words get their likeliest class by their own contexts with common words.
 6. Transitions are counted from all pairs and smoothed by adding a constant; a word's emission is (count + a) / (class
    tokens + a * (class words + 1)), so each class keeps one share for words never seen, and the model is a
-   distribution.  A word never seen in training has no contexts: it takes the class most training words have that share
-   its bucket of last two bytes.
+   distribution.  A word never seen in training, or only beside such others, has no contexts: it takes the class most
+   training words have that share its bucket of last two bytes.
 7. Scores: pairs of common words are scored in the tasks; other words are listed by document, joined with the table of
    counts and classes, and the pairs they are in are scored after that.
 
@@ -41,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import as_bytes, batch_of, bounded_batches, written
+from textmill.llm.shared import as_bytes, batch_of, bounded_batches, discard, written
 
 END = b""
 FLUSH_WORDS = 250_000
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 200_000
+FLUSH_PAIRS = 600_000
 LONGEST_COMMON_WORD = 64
+MOST_UNITS = 2048  # of the exchange on the driver, so at most that squared of contexts
 FLOOR = 10  # words seen less often take part in no sweep: their classes would learn single texts
 
 
@@ -121,6 +122,14 @@ def _counted(docs: DataFrame, folds: int) -> DataFrame:
 COUNT = np.int64(1) << 32  # a context is (2 * neighbour + side) * COUNT + count; side 0 is after the word, 1 before it
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and the sums of their counts."""
+    if len(held) == 1:
+        return held[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+
 def _contexts(docs: DataFrame, model, folds: int) -> DataFrame:
     """Contexts of words in the training text; a text begins after an end.
 
@@ -129,14 +138,9 @@ def _contexts(docs: DataFrame, model, folds: int) -> DataFrame:
     """
     schema = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("next", pa.binary()), ("n", pa.int64()), ("contexts", pa.list_(pa.int64()))])
 
-    def flushed(texts: list[np.ndarray], others: list[bytes], common: int) -> Iterator[pa.RecordBatch]:
-        seq = np.concatenate(texts)
-        ends = np.cumsum([len(t) for t in texts])
-        before = np.roll(seq, 1)
-        before[np.concatenate([[0], ends[:-1]])] = seq[ends - 1]
-        size = common + len(others)
-        pairs, n = np.unique(before * size + seq, return_counts=True)
-        a, b = pairs // size, pairs % size
+    def flushed(held: list[tuple[np.ndarray, np.ndarray]], others: list[bytes], common: int) -> Iterator[pa.RecordBatch]:
+        pairs, n = _summed(held)
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
         right, left = b < common, a < common
         owner = np.concatenate([a[right], b[left]])
         value = np.concatenate([b[right] * 2 * COUNT + n[right], (a[left] * 2 + 1) * COUNT + n[left]])
@@ -156,10 +160,18 @@ def _contexts(docs: DataFrame, model, folds: int) -> DataFrame:
             first, second = ([others[i] for i in (x[part] - common).tolist()] for x in (a, b))
             yield batch_of(schema, [np.full(len(part), -2), first, second, n[part], pa.nulls(len(part), schema.field("contexts").type)])
 
+    def counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        seq = np.concatenate(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        before = np.roll(seq, 1)
+        before[np.concatenate([[0], ends[:-1]])] = seq[ends - 1]
+        return np.unique(before << 32 | seq, return_counts=True)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         common = len(m.words)
         texts: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         names: dict[bytes, int] = {}
         size = 0
         for batch in batches:
@@ -172,11 +184,18 @@ def _contexts(docs: DataFrame, model, folds: int) -> DataFrame:
                         at[rare] = [common + names.setdefault(words[i], len(names)) for i in rare.tolist()]
                     texts.append(at)
                     size += len(at)
-            if size > FLUSH_TOKENS:
-                yield from flushed(texts, list(names), common)
-                texts, names, size = [], {}, 0
+                if size > FLUSH_TOKENS:
+                    held.append(counted(texts))
+                    texts, size = [], 0
+                    if sum(len(x) for x, _ in held) > 2 * FLUSH_PAIRS:
+                        held = [_summed(held)]
+                    if len(held[0][0]) > FLUSH_PAIRS or len(names) > FLUSH_WORDS:
+                        yield from flushed(held, list(names), common)
+                        held, names = [], {}
         if texts:
-            yield from flushed(texts, list(names), common)
+            held.append(counted(texts))
+        if held:
+            yield from flushed(held, list(names), common)
 
     return docs.mapInArrow(scan, "place long, word binary, next binary, n long, contexts array<long>")
 
@@ -185,6 +204,21 @@ def _by_word(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.flatten(F.collect_list("contexts")).alias("contexts"))
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """rows (place, contexts) with one entry for each neighbour and side."""
+    kind = pa.list_(pa.int64())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, value = _lists(batch.column(1))
+            keys, n = _summed([(row << 40 | value // COUNT, value % COUNT), (np.zeros(0, np.int64), np.zeros(0, np.int64))])
+            at = np.searchsorted(keys >> 40, np.arange(len(batch) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array((keys & ((1 << 40) - 1)) * COUNT + n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(kind)], names=["place", "contexts"])
+
+    return rows.mapInArrow(merge, "place long, contexts array<long>")
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, value) of each entry of a list column."""
     column = column.fill_null([]) if column.null_count else column
@@ -302,60 +336,59 @@ def _swept(contexts: DataFrame, classes: np.ndarray, n_classes: int, table: np.n
     return after, total
 
 
-def _clustered(contexts: DataFrame, model: Model, classes: int, units: int, add: float) -> tuple[np.ndarray, np.ndarray]:
+def _clustered(contexts: DataFrame, model: Model, classes: int, units: int, add: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """(class of each common word or -1 where none of its neighbours has one, class bigrams of the common words)."""
     units = min(units, len(model.words))
     lasting = max(units, int((model.counts >= FLOOR).sum()))  # words that sweeps move, the first ones
     own: list[np.ndarray] = [np.zeros(0, np.int64)] * units
     inner = F.filter("contexts", lambda x: x < F.lit(int(2 * units * COUNT)))
-    for row in contexts.where(F.col("place") < units).select("place", inner.alias("contexts")).toLocalIterator():
-        own[row["place"]] = np.array(row["contexts"], np.int64)
+    found = contexts.where(F.col("place") < units).select("place", inner.alias("contexts")).toArrow().combine_chunks()
+    for place, values in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        own[place] = values.values.to_numpy(zero_copy_only=False)
+    del found
     now = np.full(len(model.words), -1)
     now[:units] = exchange(own, classes)
     _, table = _swept(contexts, now, classes, None, add)
     now, table = _seeded(contexts, now, lasting, table, add)
-    after, counted = _swept(contexts, now, classes, table, add)
-    table, likelihood = counted, _likelihood(counted)
-    own_table, parts, turn = False, 1, 0
+    after, table = _swept(contexts, now, classes, table, add)
+    likelihood, parts = _likelihood(table), 1
     order = np.random.default_rng(0).permutation(len(now))
     while True:
         moving = np.flatnonzero((after != now)[:lasting])
-        if not len(moving):
-            if own_table:
-                break
-            after, own_table = _swept(contexts, now, classes, table, add)[0], True
-            continue
-        some = moving[(order[moving] + turn) % parts == 0]
-        turn += 1
+        some = moving[order[moving] % parts == 0]
+        if not len(some):
+            break
         tried = now.copy()
         tried[some] = after[some]
         following, counted = _swept(contexts, tried, classes, table, add)
-        reached = _likelihood(counted)
-        if reached > likelihood:
-            now, after, table, likelihood, own_table = tried, following, counted, reached, False
-        elif parts >= len(moving):
-            break
+        gain = _likelihood(counted) - likelihood
+        if gain > 0:
+            now, after, table, likelihood = tried, following, counted, likelihood + gain
+            if gain < tolerance * abs(likelihood):
+                break
+        elif parts == 1:
+            parts = 8
         else:
-            parts *= 8
+            break
     return _seeded(contexts, now, len(now), table, add)
 
 
 def _seeded(contexts: DataFrame, now: np.ndarray, upto: int, table: np.ndarray, add: float) -> tuple[np.ndarray, np.ndarray]:
-    """now with the words before upto that have no class in the likeliest by their contexts, and its class bigrams."""
+    """now with the words before upto that have no class in the likeliest by their contexts, and the class bigrams as
+    of the last sweep."""
     while (now[:upto] < 0).any():
-        after = _swept(contexts, now, len(table), table, add)[0]
+        after, table = _swept(contexts, now, len(table), table, add)
         after[upto:], after[now >= 0] = now[upto:], now[now >= 0]
         if (after == now).all():
             break
         now = after
-        table = _swept(contexts, now, len(table), None, add)[1]
     return now, table
 
 
 def _assigned(rows: DataFrame, classes: np.ndarray, table: np.ndarray, add: float) -> DataFrame:
     """(word, class) of rows (word, contexts) by likelihood; those without a neighbour that has a class are left out."""
     n = len(table)
-    shared = rows.sparkSession.sparkContext.broadcast((np.concatenate([classes, np.arange(n)]), table))
+    shared = rows.sparkSession.sparkContext.broadcast((classes, table))
     schema = pa.schema([("word", pa.binary()), ("class", pa.int64())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,11 +402,12 @@ def _assigned(rows: DataFrame, classes: np.ndarray, table: np.ndarray, add: floa
     return rows.select("word", "contexts").mapInArrow(assign, "word binary, class long")
 
 
-def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixes: int = 256, common: int = 131_072, add: float = 0.1, add_transition: float = 0.5, folds: int = 10):
+def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixes: int = 256, common: int = 131_072, add: float = 0.1, add_transition: float = 0.5, tolerance: float = 5e-4, folds: int = 10):
     """(model, table of word, n, class) of docs (doc, text).
 
     classes and unit_words are the least: there are as many classes as the vocabulary to the power of 0.3, and as many
-    units of the exchange as its square root.
+    units of the exchange as its square root, MOST_UNITS at most.  tolerance is the share of the likelihood by which a sweep must raise it
+    for another to follow.
     """
     spark = docs.sparkSession
     counts = written(_counted(docs, folds), "lm-counts")
@@ -393,19 +427,14 @@ def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixe
 
     plain = spark.sparkContext.broadcast(model)
     contexts = written(_contexts(docs, plain, folds), "lm-contexts")
-    of_common = written(_by_word(contexts.where("place >= 0"), "place"), "lm-common")
-    known, table = _clustered(of_common, model, classes, max(unit_words, math.isqrt(model.vocabulary)), add_transition)
+    of_common = written(_merged(_by_word(contexts.where("place >= 0"), "place")), "lm-common")
+    known, table = _clustered(of_common, model, classes, min(max(unit_words, math.isqrt(model.vocabulary)), MOST_UNITS), add_transition, tolerance)
 
     # other words, and the pairs of two of them
     rare = written(_by_word(contexts.where("place = -1"), "word"), "lm-rare")
     pairs = written(contexts.where("place = -2").groupBy("word", "next").agg(F.sum("n").alias("n")), "lm-pairs")
-    first = written(_assigned(rare, known, table, add_transition), "lm-first")
-    beside = lambda word, other, side: pairs.join(first.withColumnRenamed("word", other), other).select(word, ((2 * (len(words) + F.col("class")) + side) * F.lit(int(COUNT)) + F.col("n")).alias("context"))
-    told = beside("word", "next", 0).union(beside("next", "word", 1).withColumnRenamed("next", "word"))
-    told = told.groupBy("word").agg(F.collect_list("context").alias("told"))
-    told = told.join(rare, "word", "left").select("word", F.concat("told", F.coalesce("contexts", F.array().cast("array<bigint>"))).alias("contexts"))
-    second = _assigned(told, known, table, add_transition).withColumnRenamed("class", "better")
-    found = first.join(second, "word", "full").select("word", F.coalesce("better", "class").alias("class"))
+    discard(contexts)
+    found = _assigned(rare, known, table, add_transition)
 
     # the class of each word; of a word without, that of its bucket
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int64()), ("bucket", pa.int64())])
@@ -420,6 +449,7 @@ def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixe
             yield batch_of(schema, [own, batch.column(1), kind, [m.suffix(w) - len(m.words) for w in own]])
 
     named = written(counts.join(found, "word", "left").mapInArrow(name, "word binary, n long, class long, bucket long"), "lm-classes")
+    discard(counts)
     votes = np.zeros((suffixes, classes), np.int64)
     for row in named.where("class >= 0").groupBy("bucket", "class").count().collect():
         votes[row["bucket"], row["class"]] = row["count"]
@@ -434,6 +464,7 @@ def train(docs: DataFrame, *, classes: int = 48, unit_words: int = 1000, suffixe
     left, right = counts.select("word", F.col("class").alias("a")), counts.select(F.col("word").alias("next"), F.col("class").alias("b"))
     for row in pairs.join(left, "word").join(right, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         table[row["a"], row["b"]] += row["n"]
+    discard(of_common, rare, pairs)
     model.transitions = np.log10((table + add_transition) / (table.sum(1, keepdims=True) + add_transition * classes))
 
     shares = np.full(classes, add)
@@ -462,7 +493,8 @@ def _beside_common(rare: DataFrame, classes: np.ndarray, n_classes: int) -> np.n
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, folds: int = 10, **training) -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities),
+    perplexity (by token, of score).
 
     The model learns from the rows whose crc32(id as text) mod folds is not 0; base_score is the unigram model with
     add-constant smoothing.
@@ -522,6 +554,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ad
             yield batch_of(last, [*(batch.column(c) for c in passed), *sums])
 
     out = scanned.drop("rare").join(rare, "row", "left").mapInArrow(finish, "doc long, held_out boolean, n_tokens long, known long, counted double, classed double")
+    score = F.col("counted") + F.col("classed")
     spread = math.log10(model.tokens + add * (model.vocabulary + 1))
     return out.select(
         F.col("doc").alias("doc_id"),
@@ -530,5 +563,6 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ad
         F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("counted") - F.col("n_tokens") * F.lit(spread)).alias("base_score"),
-        (F.col("counted") + F.col("classed")).alias("score"),
+        score.alias("score"),
+        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
