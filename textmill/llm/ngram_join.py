@@ -234,8 +234,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # 2. the rows that several classes have
     # The texts are read twice rather than keeping all rows: few are shared, and those alone are kept.
     entries = source.where("doc IS NOT NULL").mapInArrow(enter, "row long, c1 long, tag long")
-    crowded = entries.groupBy("row").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x != y").select("row")
-    crowded = written(crowded, "ngram-rows")
+    crowded = written(entries.groupBy("row").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x != y").select("row"), "ngram-rows")
     shared = written(entries.join(if_small(crowded, 1_000_000), "row").distinct(), "ngram-shared")
 
     # 3. the prefix of each class, and the leader of each row
@@ -260,8 +259,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # 5. comparison
     sets = _sets(source.join(if_small(visits.select("doc")), "doc", "left_semi"), shingle)
     sets = written(sets.distinct() if again else sets, "ngram-sets")
-    met = dealt.join(sets, "doc").groupBy("leader", "low", "high").applyInArrow(_compared(num, den), _LINKS)
-    found = written(met, "ngram-links")
+    found = written(dealt.join(sets, "doc").groupBy("leader", "low", "high").applyInArrow(_compared(num, den), _LINKS), "ngram-links")
     links = found.where("n IS NULL").select("a", "b")
     joined = components(links.union(shared_ids) if again else links)
 

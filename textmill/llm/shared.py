@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -26,10 +25,12 @@ NO_ID = 2**63 - 1
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (as in tests on one machine) a local folder is made and set.
+    Only where the session names none and runs on one machine, as in tests, a local folder is made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -55,18 +56,35 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
+#: Spark's setting under which the shuffle files of a query go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as a table in the scratch folder and reads it back.
 
-    The write's shuffle files are garbage from then on; asking the JVM to collect lets Spark's cleaner delete them
-    now, so that the disk in use is that of one step and not of all.
+    The write's shuffle files are of no use from then on; they are deleted at its end, so that the disk in use is that
+    of one step and not of all.
     """
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_folder(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for table in tables:
+        drop_folder(table.sparkSession, table.scratch_folder)
 
 
 def if_small(table: DataFrame, rows: int = 500_000) -> DataFrame:
