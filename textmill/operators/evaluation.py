@@ -27,6 +27,15 @@ def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     return run.agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), (won / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
 
 
+def grouped_auc(rows: DataFrame, by: str, score: str, positive: str) -> DataFrame:
+    """auc of each of many groups, from the distinct scores of each; null without positives or without negatives."""
+    hit = F.col(positive).cast("long")
+    per = rows.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.sum(hit).alias("p"), F.sum(1 - hit).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = F.sum(F.col("p") * F.col("_below") + F.col("p") * F.col("q") / 2.0)
+    return per.withColumn("_below", below).groupBy(by).agg((won / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+
+
 def nearest_rank(rows: DataFrame, value: str, q: float) -> DataFrame:
     """The value at index round_half_even(q * (n - 1)) in order."""
     from textmill.operators.sharding import numbered

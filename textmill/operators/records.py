@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.ordering import hash_order
-from textmill.operators.sharding import running_total
+from textmill.functions.ordering import hash_pick
+from textmill.operators.sharding import numbered, running_total
 
 
 def merge_violations(inputs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -18,6 +18,14 @@ def merge_violations(inputs: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.select("key", violation.alias("violation")).where("violation IS NOT NULL")
 
 
+def key_differences(a: DataFrame, b: DataFrame, key: str, a_name: str, b_name: str) -> DataFrame:
+    """(side, n): how many keys only a has, only b has, and both have."""
+    rows = a.select(key).distinct().withColumn("_a", F.lit(True)).join(b.select(key).distinct().withColumn("_b", F.lit(True)), key, "full")
+    sides = {"both": F.col("_a") & F.col("_b"), f"only {a_name}": F.col("_b").isNull(), f"only {b_name}": F.col("_a").isNull()}
+    counts = rows.agg(*(F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(sides.values())))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"n{i}").alias("n")) for i, side in enumerate(sides)))).alias("s")).select("s.*")
+
+
 def completed_prefix(inputs: DataFrame, answers: DataFrame, order: str) -> DataFrame:
     """Inputs in order up to the first without an answer."""
     done = answers.select("key").distinct().withColumn("_done", F.lit(True))
@@ -33,14 +41,25 @@ def milestones(prefix: DataFrame, inputs: DataFrame, *, every: int, published: i
 
 
 def few_shot(items: DataFrame, key: str, k: int, *, seed: int) -> DataFrame:
-    """k other items for each, in the hash order of the item's own seed.  items is a benchmark, small by nature: it is
-    broadcast behind a count, and above it the query is refused."""
-    if items.limit(20_001).count() > 20_000:
-        raise ValueError("few-shot examples are drawn from at most 20,000 items")
-    other = F.broadcast(items.select(F.col(key).alias("other")))
-    pairs = items.select(key).join(other, F.col(key) != F.col("other"))
-    w = Window.partitionBy(key).orderBy(hash_order(F.lit(seed) + F.col(key), "shots", "other"), "other")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    """(key, other, place): k other items for each, drawn without replacement from the hash of the item's own seed.
+
+    Items are numbered once; each draws k different numbers below n - 1 (Floyd's way, one number a step), steps over
+    its own, and looks the others up.
+    """
+    placed = numbered(items.select(key), [key], "_at")
+    n = placed.agg((F.count("*") - 1).alias("_n"))
+
+    def draw(kept: Column, i: Column) -> Column:
+        last = F.col("_n") - F.col("_k") + i
+        pick = hash_pick(F.md5(F.concat_ws(":", F.lit(seed) + F.col(key), F.lit("shots"), i)), last + 1)
+        return F.concat(kept, F.array(F.when(F.array_contains(kept, pick), last).otherwise(pick)))
+
+    drawn = placed.crossJoin(F.broadcast(n)).withColumn("_k", F.least(F.lit(k).cast("long"), F.col("_n"))).where("_k > 0")
+    drawn = drawn.withColumn("_drawn", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), F.array().cast("array<bigint>"), draw))
+    drawn = drawn.select(key, "_at", F.posexplode("_drawn").alias("_i", "_x"))
+    looked = placed.select(F.col(key).alias("other"), F.col("_at").alias("_x"))
+    drawn = drawn.withColumn("_x", F.when(F.col("_x") >= F.col("_at"), F.col("_x") + 1).otherwise(F.col("_x")))
+    return drawn.join(looked, "_x").select(key, "other", (F.col("_i") + 1).alias("place"))
 
 
 def horizon(runs: DataFrame, *, batch: int, ratio: float) -> DataFrame:

@@ -37,6 +37,14 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return running_total(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", out).withColumn(out, F.col(out) - 1).drop("_one")
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """df with its rank from 1 in order among the rows of its group: the place in the order of all, less where the group
+    begins, so a group of any size is spread over the tasks."""
+    placed = numbered(df, [*by, *order], "_place")
+    first = placed.groupBy(*by).agg(F.min("_place").alias("_first"))
+    return placed.join(first, by).withColumn(out, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+
+
 def budget_cut(df: DataFrame, order: str, amount: str, budget: int, *, inclusive: bool = False) -> DataFrame:
     """Rows in order until their amounts reach the budget (inclusive: exceed it); the crossing row stays."""
     rows = running_total(df, order, amount)

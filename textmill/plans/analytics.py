@@ -76,9 +76,9 @@ def sequence(spark, sf_dir):
     return conv.sequence({"items": table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k")), "docs": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"))}, "k").select("task", "local", "position")
 
 
-@register("g3_slice_view", "SELECT doc_id FROM documents WHERE doc_id >= 10 AND doc_id < 500 AND (doc_id - 10) % 7 = 0")
+@register("g3_slice_view", "SELECT doc_id FROM documents WHERE doc_id >= 10 AND (doc_id - 10) % 7 = 0")
 def slice_view(spark, sf_dir):
-    return conv.view(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10, 500, 7)
+    return conv.view(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10, None, 7)
 
 
 @register("g6_cumulative_stages", "WITH s(stage, route) AS (VALUES (1, 0), (1, 1), (2, 2), (3, 5)), c AS (SELECT DISTINCT conv_id, conv_id % 10 AS route FROM conversations) SELECT b.stage, count(*) AS n FROM (SELECT DISTINCT stage FROM s) b JOIN s ON s.stage <= b.stage JOIN c ON c.route = s.route GROUP BY b.stage")
@@ -102,7 +102,9 @@ def mixture_manifest(spark, sf_dir):
 # --- schedules, cursors, packing --------------------------------------------------------------------------------
 
 PLAN = [("first", "a", 0), ("second", "b", 140_000), ("third", "a", 181_000)]
-STAGES = "s(name, source, st, sp) AS (VALUES ('first', 'a', 0, 0), ('second', 'b', 140000, 70), ('third', 'a', 181000, 90)), g AS (SELECT *, lead(st, 1, 201000) OVER (ORDER BY st) AS et, lead(sp, 1, 101) OVER (ORDER BY st) AS ep FROM s)"
+STAGES = """plan(i, name, source, st) AS (VALUES (0, 'first', 'a', 0), (1, 'second', 'b', 140000), (2, 'third', 'a', 181000)),
+s AS (SELECT *, CAST(max(round_even(st / 2000, 0) - i) OVER (ORDER BY i) + i AS BIGINT) AS sp FROM plan),
+g AS (SELECT *, lead(st, 1, 201000) OVER (ORDER BY st) AS et, lead(sp, 1, CAST(ceil(201000 / 2000) AS BIGINT)) OVER (ORDER BY st) AS ep FROM s)"""
 
 
 def _schedule(spark):

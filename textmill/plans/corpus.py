@@ -277,13 +277,13 @@ def pre_token_counts(spark, sf_dir):
     return docs.select(F.explode(text.pre_tokens(F.col("text"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-@register("h3_final_numbers", r"SELECT doc_id, nullif(replace(regexp_extract('Total: #### ' || n_chars || ',' || (doc_id % 7) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' end' END, '#### (-?[0-9.,]+)', 1), ',', ''), '') AS answer FROM documents")
+@register("h4_final_numbers", r"SELECT doc_id, nullif(replace(regexp_extract('Total: #### ' || n_chars || ',' || (doc_id % 7) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' end' END, '#### (-?[0-9.,]+)', 1), ',', ''), '') AS answer FROM documents")
 def final_numbers(spark, sf_dir):
     completion = F.concat(F.lit("Total: #### "), F.col("n_chars").cast("string"), F.lit(","), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(" end"))
     return table(spark, sf_dir, "documents").select("doc_id", text.final_number(completion).alias("answer"))
 
 
-@register("h22_multiple_choice", "SELECT item_id, md5('Multiple Choice question: ' || text || chr(10) || '- ' || substr(text, 1, 5) || '=A' || chr(10) || '- ' || substr(text, 6, 5) || '=B' || chr(10) || chr(10) || 'Respond only with the letter of the correct answer.') AS digest FROM benchmark")
+@register("h3_multiple_choice", "SELECT item_id, md5('Multiple Choice question: ' || text || chr(10) || '- ' || substr(text, 1, 5) || '=A' || chr(10) || '- ' || substr(text, 6, 5) || '=B' || chr(10) || chr(10) || 'Respond only with the letter of the correct answer.') AS digest FROM benchmark")
 def multiple_choice(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     prompt = text.multiple_choice(F.col("text"), F.array(F.lit("A"), F.lit("B")), F.array(F.substring("text", 1, 5), F.substring("text", 6, 5)))
@@ -304,6 +304,6 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select(text.slug(F.col("p_type")).alias("slug")).distinct()
 
 
-@register("d22_letter_counts", "SELECT p_partkey, CAST(length(p_name) - length(replace(p_name, 'e', '')) AS INT) AS letters, array_to_string(string_split(p_name, ''), ',') AS spelled FROM part")
+@register("h29_letter_counts", "SELECT p_partkey, CAST(length(p_name) - length(replace(p_name, 'e', '')) AS INT) AS letters, array_to_string(string_split(p_name, ''), ',') AS spelled FROM part")
 def letter_counts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.letter_count(F.col("p_name"), F.lit("e")).alias("letters"), text.spelled(F.col("p_name")).alias("spelled"))

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended before
+        pass
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """An unused folder under spark.checkpoint.dir; a local one is set only where the session names none."""
+    """An unused folder under spark.checkpoint.dir, deleted when the driver ends; a local one is set only where the
+    session names none and runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/textmill/{name}-{uuid.uuid4().hex}"
+    path = f"{at.rstrip('/')}/textmill/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
