@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from textmill.plans import analytics, corpus, curricula, formulas, losses, noise, records  # noqa: F401
+    from textmill.plans import analytics, corpus, curricula, files, formulas, losses, noise, records, runs, tokens  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

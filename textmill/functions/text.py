@@ -145,3 +145,56 @@ def letter_count(word: Column, letter: Column) -> Column:
 
 def spelled(word: Column) -> Column:
     return F.array_join(F.split(word, ""), ",")
+
+
+def _with_shots(shots: Column, prompt: Column) -> Column:
+    return F.array_join(F.concat(shots, F.array(prompt)), "\n\n")
+
+
+def choice_prompts(question: Column, choices: Column, shots: Column, delimiter: str) -> Column:
+    """A prompt for each choice: example blocks, then question, delimiter and choice."""
+    return F.transform(choices, lambda c: _with_shots(shots, F.concat(question, F.lit(delimiter), c)))
+
+
+def schema_prompts(contexts: Column, continuation: Column, shots: Column, delimiter: str) -> Column:
+    """A prompt for each context, with the same continuation."""
+    return F.transform(contexts, lambda c: _with_shots(shots, F.concat(c, F.lit(delimiter), continuation)))
+
+
+def continuation_prompts(context: Column, continuation: Column, shots: Column, delimiter: str) -> Column:
+    """The prompt without its continuation, stripped, and the prompt with it; the context is trimmed."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    start = _with_shots(shots, F.concat(bare(context), F.lit(delimiter)))
+    return F.array(bare(start), F.concat(start, continuation))
+
+
+def shared_length(sequences: Column, *, at_end: bool = False) -> Column:
+    """How many elements all sequences of an array share at their start, or at their end."""
+    first = F.get(sequences, F.lit(0))
+    one = lambda s: common_suffix(first, s) if at_end else common_prefix(first, s)
+    return F.array_min(F.transform(sequences, one))
+
+
+def continuation_spans(kind: str, sequences: Column, most: int | None = None) -> Column:
+    """(start, stop) of what is scored in each sequence of ids, for choice, schema and continuation prompts; sequences
+    longer than most lose their first ids, and spans move along."""
+    n = F.size(F.get(sequences, F.lit(0)))
+    if kind == "choice":
+        start = shared_length(sequences)
+        spans = F.transform(sequences, lambda s: F.struct(start.alias("start"), F.size(s).alias("stop")))
+    elif kind == "schema":
+        end = shared_length(sequences, at_end=True)
+        spans = F.transform(sequences, lambda s: F.struct((F.size(s) - end).alias("start"), F.size(s).alias("stop")))
+    elif kind == "continuation":
+        spans = F.array(F.struct(n.alias("start"), F.size(F.get(sequences, F.lit(1))).alias("stop")))
+    else:
+        raise ValueError(kind)
+    if most is None:
+        return spans
+    cut = lambda x: F.greatest(x["stop"] - most, F.lit(0))
+    return F.transform(spans, lambda x: F.struct(F.greatest(x["start"] - cut(x), F.lit(0)).alias("start"), (x["stop"] - cut(x)).alias("stop")))
+
+
+def program_source(prompt: Column, completion: Column, test: Column, entry_point: Column) -> Column:
+    """The program that checks a completion (to be run elsewhere, if at all): imports, code, test and its call."""
+    return F.concat(leading_imports(prompt), F.lit("\n\n"), program(completion), F.lit("\n\n"), test, F.lit("\ncheck("), entry_point, F.lit(")"))

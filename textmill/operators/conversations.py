@@ -61,6 +61,45 @@ def context_suffix(turns: DataFrame, budget: int, tokens: str = "tokens") -> Dat
     return turns.withColumn("used", used).withColumn("_n", F.row_number().over(newest)).where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
+def fitted(turns: DataFrame, budget: int, *, reply: int = 0, tokens: str = "tokens") -> DataFrame:
+    """The turns of each conversation that fit a budget less what the reply needs: leading system turns always, and of the
+    rest the latest exchanges (a user turn and what follows it), whole ones only; where not even the last exchange fits, it
+    stays alone, cut from the left (column kept, the tokens that are left of a turn)."""
+    at = Window.partitionBy("conv_id").orderBy("turn")
+    asked = F.sum((F.col("role") == "user").cast("long")).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    rows = turns.withColumn("_exchange", F.coalesce(asked, F.lit(0)))
+    lead = rows.groupBy("conv_id").agg(F.coalesce(F.sum(F.when(F.col("_exchange") == 0, F.col(tokens))), F.lit(0)).alias("_lead"))
+    sizes = rows.where("_exchange > 0").groupBy("conv_id", "_exchange").agg(F.sum(tokens).alias("_size")).join(lead, "conv_id")
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("_exchange"))
+    sizes = sizes.withColumns({"_used": F.sum("_size").over(newest.rowsBetween(Window.unboundedPreceding, 0)), "_k": F.row_number().over(newest)})
+    room = F.lit(budget - reply) - F.col("_lead")
+    kept = sizes.where((F.col("_used") <= room) | (F.col("_k") == 1)).select("conv_id", "_exchange", F.greatest(F.col("_size") - room, F.lit(0)).alias("_over"))
+    before = F.coalesce(F.sum(tokens).over(Window.partitionBy("conv_id", "_exchange").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    body = rows.withColumn("_before", before).join(kept, ["conv_id", "_exchange"])
+    left = F.least(F.col(tokens), F.greatest(F.col("_before") + F.col(tokens) - F.col("_over"), F.lit(0)))
+    head = rows.where("_exchange = 0").withColumn("kept", F.col(tokens)).drop("_exchange")
+    return head.unionByName(body.withColumn("kept", left).drop("_exchange", "_before", "_over").where("kept > 0"))
+
+
+def priming(spec: str | None, named: dict[str, list[dict]]) -> list[dict]:
+    """Messages that a conversation is primed with: none, a named block, or JSON (a list, or an object with messages).
+
+    They must be exchanges: an even number of texts that aren't blank, user and assistant in turn.
+    """
+    import json
+
+    if spec is None or not spec.strip():
+        return []
+    if spec.strip() in named:
+        turns = named[spec.strip()]
+    else:
+        found = json.loads(spec)
+        turns = found["messages"] if isinstance(found, dict) else found
+    if len(turns) % 2 or any(m.get("role") != ("user", "assistant")[i % 2] or not str(m.get("content", "")).strip() for i, m in enumerate(turns)):
+        raise ValueError("priming turns must be exchanges of user and assistant")
+    return [{"role": m["role"], "content": m["content"]} for m in turns]
+
+
 def mixture(tasks: dict[str, DataFrame], key: str, *, seed: int = 42) -> DataFrame:
     """UNION ALL of tasks (a task listed twice counts twice) in one hash order: task, key, position."""
     rows = None

@@ -147,3 +147,8 @@ def compare_profiles(books: DataFrame, profiles: dict[str, Profile], **claims: s
     """Per profile: rows passing that are no duplicates, their tokens and pages."""
     ok = F.col("reason").isNull()
     return profile_verdicts(books, profiles, **claims).groupBy("profile").agg(F.sum(ok.cast("long")).alias("n_passed"), F.sum(F.when(ok, F.col("tokens")).otherwise(0)).alias("tokens"), F.sum(F.when(ok, F.col("pages")).otherwise(0)).alias("pages"))
+
+
+def joined_pages(pages: Column) -> Column:
+    """Pages parted by a blank line; empty and missing ones are dropped."""
+    return F.array_join(F.filter(pages, lambda p: p != ""), "\n\n")

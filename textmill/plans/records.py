@@ -41,11 +41,6 @@ def milestones(spark, sf_dir):
     return records.milestones(prefix, items, every=5, published=5)
 
 
-@register("a12_strict_input", "SELECT count(*) AS n, count(DISTINCT item_id) AS keys, count(DISTINCT text) AS prompts FROM benchmark")
-def strict_input(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("keys"), F.count_distinct("text").alias("prompts"))
-
-
 @register("d13_few_shot_examples", """
 WITH i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () - 1 AS m FROM benchmark),
 h AS (SELECT *, [CAST('0x' || substr(md5((1234 + item_id) || ':shots:' || k), 1, 8) AS BIGINT) FOR k IN [0, 1, 2]] AS h FROM i),
