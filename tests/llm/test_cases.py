@@ -102,8 +102,8 @@ def test_ngram_join_brute_force(spark, monkeypatch, size, num, den, block):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(texts, size, num, den)
 
 
-@pytest.mark.parametrize("window", [2, 5, 13])
-def test_substring_dedup_brute_force(spark, window):
+@pytest.mark.parametrize("window, bits", [(2, 64), (5, 64), (13, 64), (5, 8), (13, 5)])
+def test_substring_dedup_brute_force(spark, window, bits):  # few bits: hashes of unequal windows meet
     r = random.Random(window)
     bank = [f"w{r.randrange(60)}" for _ in range(400)]
     texts = {}
@@ -118,7 +118,7 @@ def test_substring_dedup_brute_force(spark, window):
         w = texts[d].split()
         for i in range(len(w) - window + 1):
             first.setdefault(tuple(w[i : i + window]), d)
-    for row in substring_dedup.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), window=window).collect():
+    for row in substring_dedup.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), window=window, bits=bits).collect():
         w = texts[row["doc_id"]].split()
         gone = {i + k for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < row["doc_id"] for k in range(window)}
         assert row["n_removed"] == len(gone)
