@@ -4,7 +4,7 @@ A window of 13 consecutive words is an edge of a de Bruijn graph whose nodes are
 goes if a window over it also starts in a document with a smaller id.  Edges are not shuffled one by one:
 
 1. Every edge names its minimizer, the least-hashed 6-word mer inside it.  Consecutive edges of a document with the
-   same minimizer form a path piece of at most 8 edges; its first and last edge hold all its words.  Minimizers that
+   same minimizer form a path piece of at most 8 edges (of 13 words); its first and last edge hold all its words.  Minimizers that
    one document alone has end there (most do); a Bloom filter of the others, of bounded size, spares the second scan
    most of its rows.
 2. Pieces of the other minimizers, one row per document and piece with its place, are compacted by a join: equal pieces
@@ -25,71 +25,103 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from textmill.llm.hashing import mix, signed, window_hashes, word_hashes
+from textmill.llm.hashing import mix, signed, window_hashes
 from textmill.llm.shared import NO_ID, as_bytes, batch_of, bounded_batches, discard, if_small, written
 
 MER = 6
 FLUSH = 1_000_000
+PART = 2_000_000  # bytes of text whose hashes are made at once
 RUN = 64  # words of the source that are compared in one row
 MOST_BITS = 28  # of the Bloom filter: 32 MB
 
 
-class Paths:
-    """The edges of one text and the pieces they form."""
+def _least_of(values: np.ndarray, k: int) -> np.ndarray:
+    """The least of each k consecutive values, by doubling."""
+    width = 1
+    while 2 * width <= k:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    return values if width == k else np.minimum(values[: width - k], values[k - width :])
+
 
-    def __init__(self, text: bytes, window: int, bits: int = 64):
-        words, cut = word_hashes(text), np.uint64(64 - bits)
-        self.edges = window_hashes(words, window, 1) >> cut
-        n = len(self.edges)
-        if not n:
+class Paths:
+    """The edges of several texts and the pieces they form; row is a text's place among them, at an edge's place in it."""
+
+    def __init__(self, texts: list[bytes], window: int, bits: int = 64):
+        self.words = [t.split() for t in texts]
+        counts = np.array([len(w) for w in self.words], np.int64)
+        total = int(counts.sum())
+        hashes = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(self.words)), np.uint64, total)
+        row = np.repeat(np.arange(len(texts)), counts)
+        whole = np.flatnonzero(row[: max(0, total - window + 1)] == row[window - 1 :])  # windows inside one text
+        self.row = row[whole]
+        self.at = whole - (np.cumsum(counts) - counts)[self.row]
+        if not len(whole):
+            self.edges = self.mers = self.pieces = np.empty(0, np.uint64)
             self.starts = self.lengths = np.empty(0, np.int64)
-            self.mers = self.pieces = np.empty(0, np.uint64)
             return
-        mer = min(MER, window)
-        mers = window_hashes(words, mer, 2)
-        at = np.lib.stride_tricks.sliding_window_view(mers, window - mer + 1).argmin(axis=1) + np.arange(n)
-        self.starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        ends = np.concatenate([self.starts[1:], [n]])
+        cut, mer = np.uint64(64 - bits), min(MER, window)
+        k = window - mer + 1
+        self.edges = window_hashes(hashes, window, 1)[whole] >> cut
+        least = _least_of(window_hashes(hashes, mer, 2), k)[whole]
+        heads = np.concatenate([[True], (np.diff(whole) != 1) | (np.diff(least) != 0)])
+        place = np.arange(len(whole))
+        self.starts = np.flatnonzero((place - place[heads][np.cumsum(heads) - 1]) % k == 0)
+        ends = np.append(self.starts[1:], len(whole))
         self.lengths = ends - self.starts
-        self.mers = mers[at[self.starts]]
+        self.mers = least[self.starts]
         self.pieces = mix(mix(self.edges[self.starts]) + self.edges[ends - 1] * np.uint64(3) + self.lengths.astype(np.uint64)) >> cut
 
-    def mers_of_edges(self) -> np.ndarray:
-        return np.repeat(self.mers, self.lengths)
+    def of(self, row: int) -> tuple[slice, slice]:
+        """The edges of a text, and its pieces."""
+        low, high = np.searchsorted(self.row, [row, row + 1]).tolist()
+        first, last = np.searchsorted(self.starts, [low, high]).tolist()
+        return slice(low, high), slice(first, last)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches cut to about PART bytes of text, with their texts."""
+    for batch in batches:
+        texts = as_bytes(batch.column(1))
+        low, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= PART or i == len(texts) - 1:
+                yield batch.slice(low, i + 1 - low), texts[low : i + 1]
+                low, size = i + 1, 0
 
 
 def _minimizers(window: int, bits: int):
     schema = pa.schema([("mer", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            mers = np.concatenate([m for m, _ in held])
-            docs = np.repeat(np.array([d for _, d in held], np.int64), [len(m) for m, _ in held])
+            mers, docs = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((docs, mers))
             mers, docs = mers[order], docs[order]
             first = np.flatnonzero(np.concatenate([[True], mers[1:] != mers[:-1]]))
             last = np.concatenate([first[1:], [len(mers)]]) - 1
             return batch_of(schema, [signed(mers[first]), docs[first], docs[last]])
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                mers = np.unique(Paths(text, window, bits).mers)
-                if len(mers):
-                    held.append((mers, doc))
-                    size += len(mers)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
+        for batch, texts in _parts(batches):
+            paths = Paths(texts, window, bits)
+            held.append((paths.mers, batch.column(0).to_numpy()[paths.row[paths.starts]]))
+            size += len(paths.mers)
+            if size >= FLUSH:
+                yield flush()
+                held, size = [], 0
+        if size:
             yield flush()
 
     return scan
@@ -118,20 +150,15 @@ def _pieces(window: int, bits: int, bloom):
     schema = pa.schema([("mer", pa.int64()), ("piece", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mers, pieces, docs, starts = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                paths = Paths(text, window, bits)
-                at = np.flatnonzero(_may_hold(bloom.value, paths.mers))
-                at = at[np.lexsort((at, paths.pieces[at], paths.mers[at]))]
-                again = (np.diff(paths.mers[at]) == 0) & (np.diff(paths.pieces[at]) == 0)
-                at = at[np.concatenate([[True], ~again])] if len(at) else at  # the first place of each
-                mers.append(paths.mers[at])
-                pieces.append(paths.pieces[at])
-                docs.append(np.full(len(at), doc, np.int64))
-                starts.append(paths.starts[at])
-            if mers:
-                yield batch_of(schema, [signed(np.concatenate(mers)), signed(np.concatenate(pieces)), np.concatenate(docs), np.concatenate(starts).astype(np.int32)])
+        for batch, texts in _parts(batches):
+            paths = Paths(texts, window, bits)
+            at = np.flatnonzero(_may_hold(bloom.value, paths.mers))
+            if len(at):
+                row = paths.row[paths.starts]
+                at = at[np.lexsort((at, paths.pieces[at], paths.mers[at], row[at]))]
+                again = (np.diff(row[at]) == 0) & (np.diff(paths.mers[at]) == 0) & (np.diff(paths.pieces[at]) == 0)
+                at = at[np.concatenate([[True], ~again])]  # the first place of each in a text
+                yield batch_of(schema, [signed(paths.mers[at]), signed(paths.pieces[at]), batch.column(0).to_numpy()[row[at]], paths.at[paths.starts[at]].astype(np.int32)])
 
     return scan
 
@@ -140,18 +167,19 @@ def _edges(window: int, bits: int):
     schema = pa.schema([("mer", pa.int64()), ("edge", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mers, edges, docs, starts = [], [], [], []
-            for doc, text, opened in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), strict=True):
-                paths = Paths(text, window, bits)
-                wanted = np.flatnonzero(np.repeat(np.isin(signed(paths.pieces), opened.values.to_numpy()), paths.lengths))
-                own, at = np.unique(paths.edges[wanted], return_index=True)
-                mers.append(paths.mers_of_edges()[wanted][at])
-                edges.append(own)
-                docs.append(np.full(len(at), doc, np.int64))
-                starts.append(wanted[at])
-            if mers:
-                yield batch_of(schema, [signed(np.concatenate(mers)), signed(np.concatenate(edges)), np.concatenate(docs), np.concatenate(starts).astype(np.int32)])
+        for batch, texts in _parts(batches):
+            paths = Paths(texts, window, bits)
+            wanted = np.zeros(len(paths.pieces), bool)
+            for i, opened in enumerate(batch.column(2)):
+                _, own = paths.of(i)
+                wanted[own] = np.isin(signed(paths.pieces[own]), opened.values.to_numpy())
+            at = np.flatnonzero(np.repeat(wanted, paths.lengths))
+            if len(at):
+                mers = np.repeat(paths.mers, paths.lengths)
+                at = at[np.lexsort((at, paths.edges[at], paths.row[at]))]
+                again = (np.diff(paths.row[at]) == 0) & (np.diff(paths.edges[at]) == 0) & (np.diff(mers[at]) == 0)
+                at = at[np.concatenate([[True], ~again])]
+                yield batch_of(schema, [signed(mers[at]), signed(paths.edges[at]), batch.column(0).to_numpy()[paths.row[at]], paths.at[at].astype(np.int32)])
 
     return scan
 
@@ -209,12 +237,12 @@ def _windows(window: int, bits: int):
     schema = pa.schema([("edge", pa.int64()), ("words", pa.string()), ("doc", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                words, edges = text.split(), signed(Paths(text, window, bits).edges)
-                for at in range(0, len(edges), 4096):
-                    part = range(at, min(at + 4096, len(edges)))
-                    yield batch_of(schema, [edges[at : at + 4096], [b" ".join(words[i : i + window]).decode() for i in part], [doc] * len(part)])
+        for batch, texts in _parts(batches):
+            paths = Paths(texts, window, bits)
+            for at in range(0, len(paths.edges), 4096):
+                row, start = paths.row[at : at + 4096], paths.at[at : at + 4096].tolist()
+                words = [b" ".join(paths.words[r][i : i + window]).decode() for r, i in zip(row.tolist(), start, strict=True)]
+                yield batch_of(schema, [signed(paths.edges[at : at + 4096]), words, batch.column(0).to_numpy()[row]])
 
     return scan
 
@@ -225,19 +253,22 @@ def _applied(window: int, bits: int):
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("spans", spans_kind), ("claims", claim_kind)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in _parts(batches):
             rows: list[tuple] = []
-            for text, pieces, edges, suspects, exact in zip(as_bytes(batch.column(1)), *(batch.column(i) for i in range(2, 6)), strict=True):
-                words = text.split()
+            touched = np.logical_or.reduce([np.asarray(batch.column(i).is_valid()) for i in (2, 3, 4)])
+            paths = Paths([t if x else b"" for t, x in zip(texts, touched.tolist(), strict=True)], window, bits)
+            for i, (text, pieces, edges, suspects, exact) in enumerate(zip(texts, *(batch.column(c) for c in range(2, 6)), strict=True)):
+                words = paths.words[i] if touched[i] else text.split()
                 kept, spans, claims = words, [], []
-                if pieces.is_valid or edges.is_valid or suspects.is_valid:
-                    paths = Paths(text, window, bits)
-                    found, source, at = (np.repeat(x, paths.lengths) for x in _looked_up(signed(paths.pieces), pieces))
-                    at = at + np.arange(len(at)) - np.repeat(paths.starts, paths.lengths)
-                    alone, alone_source, alone_at = _looked_up(signed(paths.edges), edges)
+                if touched[i]:
+                    windows, own = paths.of(i)
+                    lengths, hashed = paths.lengths[own], paths.edges[windows]
+                    found, source, at = (np.repeat(x, lengths) for x in _looked_up(signed(paths.pieces[own]), pieces))
+                    at = at + np.arange(len(at)) - np.repeat(paths.starts[own] - windows.start, lengths)
+                    alone, alone_source, alone_at = _looked_up(signed(hashed), edges)
                     gone, source, at = found | alone, np.where(alone, alone_source, source), np.where(alone, alone_at, at)
                     if suspects.is_valid:  # decided by their words
-                        again = np.flatnonzero(np.isin(signed(paths.edges), suspects.values.to_numpy()))
+                        again = np.flatnonzero(np.isin(signed(hashed), suspects.values.to_numpy()))
                         repeated = set(exact.as_py() or [])
                         gone[again] = [b" ".join(words[i : i + window]).decode() in repeated for i in again.tolist()]
                     else:
