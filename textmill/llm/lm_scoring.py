@@ -34,6 +34,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -511,23 +512,47 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ad
         logs, n = np.log10(m.counts + add), len(m.shares)
         steps = m.transitions.ravel()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                words = tokens_of(text)
-                at = m.at(words)
-                common = at[at >= 0]
-                kind = m.classes[at]
-                rare: dict[bytes, int] = {}
-                tf: Counter = Counter()
-                for i in np.flatnonzero(at < 0).tolist():
-                    kind[i] = -1 - rare.setdefault(words[i], len(rare))
-                    tf[words[i]] += 1
-                before = np.roll(kind, 1)
-                both = (before >= 0) & (kind >= 0)
-                classed = float(steps[before[both] * n + kind[both]].sum() - m.shares[kind[kind >= 0]].sum())
-                rows.append((doc, held_out(doc, folds), len(words), len(common), float(logs[common].sum()), classed, [{"word": w, "tf": tf[w], "fallback": int(m.classes[m.suffix(w)])} for w in rare], before[~both], kind[~both]))
-            if rows:
-                yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
+            docs = batch.column(0).to_pylist()
+            words = [tokens_of(text) for text in as_bytes(batch.column(1))]
+            sizes = np.array([len(w) for w in words], np.int64)
+            if not len(sizes):
+                continue
+            at = np.fromiter(map(m.places.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+            ends = np.cumsum(sizes)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            kind = m.classes[at].astype(np.int32)
+            found: list[bytes] = []  # words that aren't common, a place in their text each
+            often: list[int] = []
+            listed_of = np.zeros(len(sizes) + 1, np.int32)
+            rare = np.flatnonzero(at < 0)
+            own, first = -1, 0
+            seen: dict[bytes, int] = {}
+            place = []
+            for r, i in zip(row[rare].tolist(), (rare - (ends - sizes)[row[rare]]).tolist(), strict=True):
+                if r != own:
+                    own, first, seen = r, len(found), {}
+                word = words[r][i]
+                k = seen.setdefault(word, len(seen))
+                if first + k == len(found):
+                    found.append(word)
+                    often.append(0)
+                    listed_of[r + 1] += 1
+                often[first + k] += 1
+                place.append(-1 - k)
+            kind[rare] = place
+            before = np.roll(kind, 1)
+            before[ends - sizes] = kind[ends - 1]
+            both = (before >= 0) & (kind >= 0)
+            common = at >= 0
+            total = lambda values, where: np.bincount(row[where], values, len(sizes))  # noqa: E731, B023
+            counted = total(logs[at[common]], common)
+            classed = total(steps[before[both] * n + kind[both]], both) - total(m.shares[kind[kind >= 0]], kind >= 0)
+            offsets = pa.array(np.cumsum(listed_of).astype(np.int32))
+            fallback = m.classes[np.fromiter(map(m.suffix, found), np.int64, len(found))]
+            parts = pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(often, pa.int64()), pa.array(fallback, pa.int64())], fields=list(listed.value_type))
+            open_ = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[~both], minlength=len(sizes)))]).astype(np.int32))
+            sides = [pa.ListArray.from_arrays(open_, pa.array(x[~both], pa.int32())) for x in (before, kind)]
+            yield batch_of(schema, [docs, [held_out(d, folds) for d in docs], sizes, np.bincount(row[common], minlength=len(sizes)), counted, classed, pa.ListArray.from_arrays(offsets, parts).cast(listed), *(x.cast(whole) for x in sides)])
 
     kinds = "doc long, held_out boolean, n_tokens long, known long, counted double, classed double, rare array<struct<word: binary, tf: long, fallback: long>>, befores array<int>, afters array<int>"
     scanned = written(source.mapInArrow(scan, kinds).withColumn("row", F.monotonically_increasing_id()), "lm-scan")
