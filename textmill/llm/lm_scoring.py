@@ -127,8 +127,11 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     """Keys in order and the sums of their counts."""
     if len(held) == 1:
         return held[0]
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys, kind="stable")  # quick on a few runs that are in order
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(keys) else n
 
 
 def _contexts(docs: DataFrame, model, folds: int) -> DataFrame:
