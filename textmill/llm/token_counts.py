@@ -1,8 +1,9 @@
 """Token counts by a count-only Viterbi.
 
 An Aho-Corasick automaton over the vocabulary lists, for every end in a chunk, the pieces that end there, longest
-first; dynamic programming carries the best score and its number of tokens, nothing else.  No path is kept, so a text
-of any length needs memory for one chunk.  See ``unigram`` for the tokenizer's rules.
+first; dynamic programming carries the best score and its number of tokens, nothing else.  Both run in step: matches
+are used as they are found, and only as many places are held as the longest piece has characters, so a text without
+any break needs no more memory than its characters.  See ``unigram`` for the tokenizer's rules.
 
 Defined cases: null and empty texts have no tokens; a null id stays null; repeated rows count each; other columns are
 ignored; an empty table gives no rows.
@@ -11,6 +12,8 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,31 +30,43 @@ class Counter:
         import ahocorasick
 
         self.pieces = pieces
+        self.longest = max(map(len, pieces.scores), default=1)
         self.automaton = ahocorasick.Automaton()
         for text, score in pieces.scores.items():
             self.automaton.add_word(text, (len(text), score))
         self.automaton.make_automaton()
         self.chunks = Chunks(self.solve)
 
+    def ends(self, chunk: str) -> Iterator[tuple[int, list]]:
+        """(end, pieces that end there) of every character, in order."""
+        done = 0
+        for end, found in groupby(self.automaton.iter(chunk), itemgetter(0)):
+            for skipped in range(done, end):
+                yield skipped, []
+            yield end, [match for _, match in found]
+            done = end + 1
+        for skipped in range(done, len(chunk)):
+            yield skipped, []
+
     def solve(self, chunk: str) -> tuple[int, float]:
         n = len(chunk)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(chunk):
-            ends[end].append(match)
+        width = min(n, self.longest) + 1  # a ring: place p is held at p % width
+        best, count = [0.0] * width, [0] * width
         unknown = self.pieces.unknown
-        for end, matches in enumerate(ends):
+        for end, matches in self.ends(chunk):
             top, tokens = None, 0
             for length, score in sorted(matches, reverse=True):
-                total = best[end + 1 - length] + score
+                before = (end + 1 - length) % width
+                total = best[before] + score
                 if top is None or total > top:
-                    top, tokens = total, count[end + 1 - length] + 1
+                    top, tokens = total, count[before] + 1
             if not matches or min(matches)[0] > 1:  # no piece of this character alone
-                total = best[end] + unknown
+                before = end % width
+                total = best[before] + unknown
                 if top is None or total > top:
-                    top, tokens = total, count[end] + len(chunk[end].encode())
-            best[end + 1], count[end + 1] = top, tokens
-        return count[n], best[n]
+                    top, tokens = total, count[before] + len(chunk[end].encode())
+            best[(end + 1) % width], count[(end + 1) % width] = top, tokens
+        return count[n % width], best[n % width]
 
     def count(self, text: str) -> tuple[int, float]:
         found = list(map(self.chunks.__getitem__, chunks_of(text, self.pieces.chunked)))
