@@ -12,8 +12,10 @@ Rows are dealt by conversation and sorted; a task streams them and holds one win
 number of turns.
 
 Defined cases: null roles and texts are empty; a null turn sorts first; rows without conv_id are one conversation;
-rows that share a turn follow in order of role and text; a turn that alone exceeds the budget gets a window of its own
-(with the system turn), which is longer; other columns are ignored; an empty table gives no windows.
+rows that share a turn follow in order of role and text; a turn that alone exceeds the budget gets a window of its
+own, which is longer; a later window whose first new turn does not fit beside the system turn starts without it
+(``has_system`` tells), so a system turn of any length makes no other window exceed the budget; other columns are
+ignored; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -64,9 +66,9 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-WINDOW = "conv_id long, window long, text string, loss array<struct<start: long, end: long>>, n_context int, n_turns int, n_tokens long"
+WINDOW = "conv_id long, window long, text string, loss array<struct<start: long, end: long>>, n_context int, n_turns int, n_tokens long, has_system boolean"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_WINDOW = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("loss", _SPANS), ("n_context", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int64())])
+_WINDOW = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("loss", _SPANS), ("n_context", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int64()), ("has_system", pa.bool_())])
 
 
 class _Conversation:
@@ -93,7 +95,7 @@ class _Conversation:
             self.system = item
 
     def begin(self, needed: int) -> None:
-        first = [self.system] if self.system else []
+        first = [self.system] if self.system and self.system[4] + needed <= self.budget else []
         room = min(self.history, self.budget - needed - sum(x[4] for x in first))
         kept: list[tuple] = []
         for item in reversed(self.past):
@@ -111,7 +113,8 @@ class _Conversation:
                 spans.append({"start": at + start, "end": at + end})
             parts.append(turn)
             at += len(turn)
-        out = (self.conv, self.windows, "".join(parts), spans, len(self.context), len(self.new), self.used)
+        with_system = any(x is self.system for x in self.context + self.new)
+        out = (self.conv, self.windows, "".join(parts), spans, len(self.context), len(self.new), self.used, with_system)
         self.past = [x for x in self.context if x is not self.system] + self.new
         self.new, self.windows = [], self.windows + 1
         return out
@@ -119,7 +122,7 @@ class _Conversation:
 
 def format_windows(turns: DataFrame, vocabulary: str, *, budget: int = 1024, history: int = 256) -> DataFrame:
     """Windows of conversations (conv_id, turn, role, text): formatted text, loss spans (code points), n_context
-    repeated turns at its start, n_turns new ones, n_tokens.
+    repeated turns at its start, n_turns new ones, n_tokens, has_system.
 
     A conversation's windows are consecutive rows of one partition, in order.
     """
@@ -148,8 +151,12 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 _READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of every conversation, parsed from its windows as format_windows returns them."""
+def read_back(windows: DataFrame, *, in_order: bool = False) -> DataFrame:
+    """Digests of every conversation, parsed from its windows.
+
+    Windows are dealt by conversation and sorted, unless in_order says that they come straight from format_windows,
+    where they already are.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = None, None
@@ -179,4 +186,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state is not None:
             yield batch_of(_READ, [[x] for x in closed()])
 
-    return windows.select("conv_id", "window", "text", "loss", "n_context").mapInArrow(stream, READ)
+    rows = windows.select("conv_id", "window", "text", "loss", "n_context")
+    if not in_order:
+        rows = bounded_batches(rows).repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows.mapInArrow(stream, READ)

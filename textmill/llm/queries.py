@@ -97,7 +97,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     windows = chat_format.format_windows(turns, vocabulary("byte_bpe_50k.json"), budget=1024, history=256)
-    return chat_format.read_back(windows)
+    return chat_format.read_back(windows, in_order=True)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
