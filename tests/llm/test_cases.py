@@ -199,3 +199,37 @@ def test_ablation_counts(spark):
     found = {r["rule"]: (r["n_failed"], r["n_failed_alone"], r["n_kept_without"]) for r in quality_rules.ablation(book, policy).collect()}
     assert found == {"few_words": (1, 1, 2), "repeated_windows": (1, 1, 2), "many_symbols": (1, 1, 2)}
     assert [r["doc_id"] for r in book.where(quality_rules.passes(policy)).collect()] == [3]
+
+
+def test_unbroken_text_is_counted_with_the_memory_of_its_characters():
+    import tracemalloc
+
+    own = token_counts.Counter(token_counts.counter(PIECES).pieces)
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcde\u00e9\u65e5") for _ in range(100_000))
+    short = text[:300]
+    assert own.count(short)[0] == len(sentencepiece_codec.Codec(own.pieces).encode(short)) // 4
+    tracemalloc.start()
+    own.count(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+
+
+def test_system_turns_up_to_and_beyond_the_budget(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    rows = [(c, 0, "system", "law " * size) for c, size in ((1, 10), (2, 60), (3, 97), (4, 400))]
+    rows += [(c, i, "user" if i % 2 else "assistant", f"turn {i} " + "word " * 20) for c in (1, 2, 3, 4) for i in range(1, 30)]
+    windows = chat_format.format_windows(spark.createDataFrame(rows, kind), BPE, budget=100, history=30).cache()
+    for conv in (1, 2, 3, 4):
+        own = sorted((w for w in windows.collect() if w["conv_id"] == conv), key=lambda w: w["window"])
+        size = lambda role, text: len(byte_bpe.byte_bpe(BPE).ids(chat_format.render(role, text)[0])) // 4
+        system = size("system", next(r[3] for r in rows if r[0] == conv))
+        assert own[0]["has_system"]
+        assert all(w["n_tokens"] <= 100 for w in own[system > 100 :])  # a first turn alone beyond the budget is a longer window
+        for w in own[1:]:
+            turns = chat_format.parse_turns(w["text"])
+            assert w["has_system"] == (turns[0][0] == "system") == (system + size(*turns[w["n_context"]]) <= 100)
+        assert [t for w in own for t in chat_format.parse_turns(w["text"])[w["n_context"] :]] == [(r[2], r[3]) for r in rows if r[0] == conv]
+    plain = chat_format.read_back(windows.orderBy("window").repartition(5))
+    assert sorted(plain.collect()) == sorted(chat_format.read_back(chat_format.format_windows(spark.createDataFrame(rows, kind), BPE, budget=100, history=30), in_order=True).collect())

@@ -106,8 +106,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(
         "doc_id",
         *(c for c in quality_rules.MEASURES if c != "n_lines"),
+        "failed_bits",
         failed.alias("base_failed"),
         (~failed & quality_rules.passes(quality_rules.POLICIES["v1"])).alias("kept"),
+        quality_rules.passes(quality_rules.POLICIES["v2"]).alias("kept_v2"),
     )
 
 
@@ -120,16 +122,21 @@ p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) AS o(k) WHERE c > 1 GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  SELECT w.doc_id, len(ws) AS n_words, len(ls) AS n_lines, length(array_to_string(ws, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
-  FROM w LEFT JOIN r USING (doc_id))
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (
+  SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END AS bits
+  FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-       CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(bits AS BIGINT) AS failed_bits, bits = 0 AS kept_v2,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 10 * n_symbols > n_words AS kept
-FROM m
+FROM b
 """
 
 
