@@ -25,6 +25,7 @@ from xxhash import xxh3_128_hexdigest
 from textmill.llm.shared import as_texts, batch_of, bounded_batches, if_small, written
 
 LEAST = -(2**63)
+RANGE_BYTES = 64 * 2**20  # of texts, in a range of ids
 
 
 def canonical(text: str) -> bytes:
@@ -70,7 +71,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = written(source.mapInArrow(scan(True), kind).join(if_small(buckets), "fingerprint"), "fingerprint-buckets")
     heads = rows.where("doc = least").groupBy("fingerprint").agg(F.min("bytes").alias("head"))
     compared = rows.join(heads, "fingerprint").select("fingerprint", "doc", "least", (F.col("bytes") == F.col("head")).alias("same"), F.when(F.col("bytes") != F.col("head"), F.col("bytes")).alias("other"))
-    strays = compared.where("NOT same").groupBy("fingerprint", "other").agg(F.min("doc").alias("group_id"), F.collect_set("doc").alias("docs")).select(F.explode("docs").alias("doc"), "group_id")
+    differ = compared.where("NOT same").select("fingerprint", "other", "doc")
+    strays = differ.join(differ.groupBy("fingerprint", "other").agg(F.min("doc").alias("group_id")), ["fingerprint", "other"]).select("doc", "group_id")
     return compared.where("same").select("doc", F.col("least").alias("group_id")).union(strays).distinct()
 
 
@@ -103,9 +105,10 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     near_edited and near_next are 1.0 where the canonical texts are equal, byte by byte, else 0.0.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc", F.lit(LEAST)))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     bounds, above = _ranges(rows.select("key"), parts)
     heads = np.array(sorted(above), np.int64)
     targets = np.array([above[int(k)] for k in heads], np.int64)
@@ -135,7 +138,7 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             if out:
                 yield batch_of(schema, [list(c) for c in zip(*out, strict=True)])
 
-    dealt = rows.withColumn("place", F.explode(places("key"))).repartition(parts, F.shiftright("place", 1))
+    dealt = rows.withColumn("place", F.explode(places("key"))).repartitionById(parts, F.shiftright("place", 1).cast("int"))
     sorted_rows = dealt.sortWithinPartitions(F.shiftright("place", 1), F.col("place").bitwiseAND(1), F.col("key").desc(), "text")
     return sorted_rows.select("doc", "text", "place").mapInArrow(stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
