@@ -3,7 +3,8 @@
 Writing: every task appends its records to archives of its own, one gzip member a record, and returns an index row for
 each: file, offset, length, URL, payload digest.  The index, written as a table, is what commits an archive: a task
 that runs again writes other files, and files that no index row names are ignored.  Records with equal payloads are
-written once; the others are revisit records that refer to it.
+written once; the others are revisit records that refer to it.  Payloads stay where they are read as long as the
+table of contents that occur twice is small enough to broadcast; beyond that they are dealt by content.
 
 Reading: index rows are sorted by file and offset, neighbouring ranges are joined into one read, and every record is
 parsed and its payload's digest verified.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import as_bytes, as_texts, batch_of, bounded_batches, written
+from textmill.llm.shared import as_bytes, as_texts, batch_of, bounded_batches, if_small, written
 
 FILE_BYTES = 512 * 2**20
 GAP_BYTES, READ_BYTES = 64 * 2**10, 8 * 2**20
@@ -123,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     page = bounded_batches(pages).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), text.alias("payload"))
     page = page.withColumn("content", F.sha2("payload", 256))
     copies = page.where(F.octet_length("payload") >= revisit_bytes).groupBy("content").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
-    rows = page.join(copies, "content", "left").select("page", "url", "payload", "first", (F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))).alias("refers"))
+    rows = page.join(if_small(written(copies, "warc-copies"), 200_000), "content", "left").select("page", "url", "payload", "first", (F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))).alias("refers"))
     return written(rows.mapInArrow(write, INDEX), "warc-index")
 
 
