@@ -11,7 +11,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from textmill.llm.shared import as_texts, batch_of, bounded_batches
 from textmill.llm.unigram import Chunks, Pieces, chunks_of
 
+HELD_CHARS = 4096  # up to which a chunk's matches are listed first, which is quicker
+
 
 class Counter:
     """(tokens, score) of texts."""
@@ -37,8 +39,16 @@ class Counter:
         self.automaton.make_automaton()
         self.chunks = Chunks(self.solve)
 
-    def ends(self, chunk: str) -> Iterator[tuple[int, list]]:
-        """(end, pieces that end there) of every character, in order."""
+    def ends(self, chunk: str) -> Iterable[tuple[int, list]]:
+        """(end, pieces that end there) of every character, in order; of long chunks as they are found."""
+        if len(chunk) <= HELD_CHARS:
+            held: list[list] = [[] for _ in chunk]
+            for end, match in self.automaton.iter(chunk):
+                held[end].append(match)
+            return enumerate(held)
+        return self.streamed(chunk)
+
+    def streamed(self, chunk: str) -> Iterator[tuple[int, list]]:
         done = 0
         for end, found in groupby(self.automaton.iter(chunk), itemgetter(0)):
             for skipped in range(done, end):
