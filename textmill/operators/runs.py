@@ -156,11 +156,13 @@ def json_fingerprint(*fields: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
-def folder_fingerprint(files: DataFrame, *, first: int = 1 << 20) -> DataFrame:
-    """(folder, fingerprint) over files (folder, name, content): name, size and the first bytes of each in order of name;
-    unfinished ones (.tmp) don't count."""
+def folder_fingerprint(files: DataFrame, *, order: str = "name", first: int = 1 << 20) -> DataFrame:
+    """(folder, fingerprint) over files (folder, name, content): name, size and the first bytes of each in order of name,
+    or of another column (numbers in names have an order of their own beyond their padding); unfinished ones (.tmp) don't
+    count."""
     part = F.concat(F.encode("name", "UTF-8"), F.encode(F.octet_length("content").cast("string"), "UTF-8"), F.substring("content", 1, first))
-    rows = files.where(~F.col("name").endswith(".tmp")).groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("name", F.hex(part).alias("part")))).alias("all"))
+    each = F.struct(F.col(order).alias("at"), F.col("name"), F.hex(part).alias("part"))
+    rows = files.where(~F.col("name").endswith(".tmp")).groupBy("folder").agg(F.array_sort(F.collect_list(each)).alias("all"))
     whole = F.unhex(F.array_join(F.transform("all", lambda x: x["part"]), ""))
     return rows.select("folder", F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"))
 
